@@ -43,18 +43,21 @@ def with_positions(df: DataFrame, by=(), order=(), name: str = "pos") -> DataFra
 def number_blocks(rows: DataFrame, blocks: DataFrame, group, order, name: str) -> DataFrame:
     """Positions for rows that carry ``_row`` and lie in consecutive blocks.
 
-    ``blocks`` has one row per block: ``_first`` (lowest ``_row``) and
-    ``_count``. ``group`` + ``order`` name the block; ``order`` sorts the blocks
-    of a group.
+    ``blocks`` has one row per block: ``_first`` (lowest ``_row`` that counts)
+    and ``_count``. ``group`` + ``order`` name the block; ``order`` sorts the
+    blocks of a group. Rows ahead of their block's first are dropped.
     """
     earlier = Window.partitionBy(*group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     starts = blocks.select(
-        *group, *order,
-        (F.coalesce(F.sum("_count").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        *group, *order, "_first",
+        F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_earlier"))
+    placed = attach(rows, starts, on=[*group, *order], spread=["_row"], how="inner")
+    return (
+        placed.filter(F.col("_row") >= F.col("_first"))
+        .withColumn(name, F.col("_row") - F.col("_first") + F.col("_earlier"))
+        .drop("_row", "_first", "_earlier")
     )
-    numbered = attach(rows, starts, on=[*group, *order], spread=["_row"], how="inner")
-    return numbered.withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_shift")
 
 
 def running_totals(rows: DataFrame, group: str, order, weight: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from metaeval.operators.batches import BATCH
 
@@ -41,7 +41,7 @@ def score(rows: DataFrame, load_scorer: Callable[[], Callable[[pd.DataFrame], li
     (the raw samples, say) only as far as the scorer.
     """
     kept = [f for f in rows.schema.fields if f.name not in drop]
-    schema = type(rows.schema)(kept).add(name, StringType())
+    schema = StructType([*kept, StructField(name, StringType())])
     names = [f.name for f in kept]
 
     def run(frames):

@@ -38,6 +38,15 @@ def build_vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return placed.select("token", "n", (F.col("_pos") + FIRST_ID).alias("id"))
 
 
+def _pieces(segment: int, text: Column) -> Column:
+    """The tokens with their place: STRUCT(seg, at, token); the first segment is opened."""
+    tokens = tokens_of(text)
+    if segment == 0:
+        tokens = F.concat(F.array(F.lit(_BEGIN)), tokens)
+    return F.transform(tokens, lambda t, at: F.struct(
+        F.lit(segment).alias("seg"), at.alias("at"), t.alias("token")))
+
+
 def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame) -> DataFrame:
     """Id arrays of the text ``segments`` of every row, one row per ``key``.
 
@@ -47,13 +56,7 @@ def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame) ->
     The tokens that occur are counted and given their ids once; they come back to
     the rows by weight, since a few tokens make up most of any text.
     """
-    parts = []
-    for i, text in enumerate(segments.values()):
-        tokens = tokens_of(text)
-        if i == 0:
-            tokens = F.concat(F.array(F.lit(_BEGIN)), tokens)
-        parts.append(F.transform(tokens, lambda t, p, i=i: F.struct(
-            F.lit(i).alias("seg"), p.alias("at"), t.alias("token"))))
+    parts = [_pieces(i, text) for i, text in enumerate(segments.values())]
     pieces = rows.select(key, F.explode(F.concat(*parts)).alias("_t")).select(
         key, "_t.seg", "_t.at", "_t.token")
     ids = cut(

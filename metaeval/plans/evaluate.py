@@ -10,7 +10,6 @@ from metaeval.operators.predictions import join_labels, parse_predictions
 from metaeval.operators.scoring import score
 from metaeval.operators.splits import require_rows
 from metaeval.operators.tokens import PAD_ID
-from metaeval.schemas import PREDICTION
 from metaeval.sinks.writers import prediction_name, record_name, write_predictions, write_record
 from metaeval.sources.text_files import located, number_rows
 
@@ -23,16 +22,17 @@ LABELS = {
 LOWER_IS_BETTER = ("metric_score_metricx-23-xl",)
 
 
-def read_predictions(spark, path: str, multi_line: bool = False) -> DataFrame:
-    """Predictions written by the sink: ``pos`` and ``pred_strings``."""
-    rows = located(
-        spark.read.schema(PREDICTION).options(
-            sep="\t", header="true", escape='"', enforceSchema="false",
-            ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
-            multiLine=str(multi_line).lower(),
-        ).csv(path)
-    )
-    return number_rows(rows)
+def read_predictions(spark, path: str) -> DataFrame:
+    """Predictions written by the sink, one per line: ``pos`` and ``pred_strings``.
+
+    Read as lines, because a table reader would skip blank predictions.
+    """
+    lines = located(spark.read.option("lineSep", "\n").text(path))
+    line = F.col("value")
+    inner = F.replace(F.substring(line, F.lit(2), F.length(line) - 2), F.lit('""'), F.lit('"'))
+    quoted = line.startswith('"') & line.endswith('"') & (F.length(line) > 1)
+    text = F.when(quoted, inner).otherwise(line).alias("pred_strings")
+    return number_rows(lines.select(text, "_part", "_file", "_block"), header=True)
 
 
 def report(rows: DataFrame, prediction: str = "pred_strings", run=()) -> tuple:

@@ -644,10 +644,10 @@ def ids_sql(rows: str, key: str, text: str, name: str, begin: bool = False) -> s
     """A CTE ``name`` with the id list of ``text`` per ``key``."""
     first = "[1] || " if begin else ""
     return f"""{name} AS (
-      SELECT {key}, {first}coalesce(list(coalesce(CAST(id AS INTEGER), 3) ORDER BY at)
+      SELECT {key}, {first}coalesce(list(coalesce(CAST(id AS INTEGER), 3) ORDER BY place)
         FILTER (token IS NOT NULL), []) AS ids
       FROM (SELECT {key}, unnest(CASE WHEN len(ts) = 0 THEN [NULL] ELSE ts END) AS token,
-              unnest(range(greatest(len(ts), 1))) AS at
+              unnest(range(greatest(len(ts), 1))) AS place
             FROM (SELECT {key}, {tokens_sql(text)} AS ts FROM {rows}))
       LEFT JOIN vocabulary USING (token) GROUP BY {key})"""
 
@@ -799,8 +799,8 @@ _TAIL_SQL = "['<|im_end|>', '<|im_start|>assistant']"
   {ids_sql('prompts', 'pos', 'prefix', 'a', begin=True)},
   {ids_sql('prompts', 'pos', 'suffix', 'b')},
   {ids_sql('prompts', 'pos', 'response', 'c')},
-  tail AS (SELECT list(coalesce(CAST(id AS INTEGER), 3) ORDER BY at) AS ids FROM
-    (SELECT unnest({_TAIL_SQL}) AS token, unnest([0, 1]) AS at) LEFT JOIN vocabulary USING (token)),
+  tail AS (SELECT list(coalesce(CAST(id AS INTEGER), 3) ORDER BY place) AS ids FROM
+    (SELECT unnest({_TAIL_SQL}) AS token, unnest([0, 1]) AS place) LEFT JOIN vocabulary USING (token)),
   seq AS (SELECT a.pos, a.ids AS input_ids, b.ids || (SELECT ids FROM tail) AS prompt_ids,
     c.ids || [2] AS answer, speech FROM a JOIN b USING (pos) JOIN c USING (pos)
     JOIN clips USING (pos))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType, DoubleType, LongType, StringType, StructField, StructType,
+    ArrayType, DoubleType, StringType, StructField, StructType,
 )
 
 # Manifest columns with a type of their own; every other column stays a text.
@@ -28,14 +28,6 @@ SCORE_ARRAY = StructType([
     StructField("scores", ArrayType(DoubleType())),
 ])
 
-PREDICTION = StructType([StructField("pred_strings", StringType())])
-
-SCORE = StructType([
-    StructField("system", StringType()),
-    StructField("pos", LongType()),
-    StructField("value", DoubleType()),
-])
-
 # Texts a score or manifest file uses for a missing entry.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from metaeval.functions.audio import has_audio_header
 from metaeval.functions.text import file_safe
@@ -69,7 +70,7 @@ def probe_readable(manifest: DataFrame, path: str = "path", header_bytes: int =
     Only the first bytes are read, so large audio costs one small read per file.
     A path that cannot be opened is not readable. Tasks need access to the files.
     """
-    schema = manifest.schema.add("_head", "binary")
+    schema = StructType([*manifest.schema.fields, StructField("_head", BinaryType())])
 
     def read_heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs

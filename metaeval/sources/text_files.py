@@ -37,21 +37,28 @@ def located(df: DataFrame, part: int = 0) -> DataFrame:
     })
 
 
-def number_rows(rows: DataFrame, system: Column | None = None, pos: str = "pos") -> DataFrame:
+def number_rows(rows: DataFrame, system: Column | None = None, pos: str = "pos",
+                header: bool = False) -> DataFrame:
     """Positions in reading order for ``located`` rows, from 0 in every ``system``.
 
     Order: the part as written, the file, the block, the row. Rows of one block
     are read in one go, so counting blocks is enough; only one row per block
     (some 128 MB of input) is ordered. Written out first, since the split into
-    blocks must not change between counting and numbering.
+    blocks must not change between counting and numbering. With ``header`` the
+    first row of every file is left out.
     """
     system = F.lit("") if system is None else system
-    read = cut(rows.withColumn("_system", system).withColumn(
-        "_row", F.monotonically_increasing_id()))
-    block = ["_part", "_file_rank", "_file", "_block"]
-    read = read.withColumn("_file_rank", F.length("_file"))
+    read = cut(rows.withColumns({
+        "_system": system,
+        # names of equal form sort by number once their lengths agree
+        "_length": F.length("_file"),
+        "_row": F.monotonically_increasing_id(),
+    }))
+    block = ["_part", "_length", "_file", "_block"]
+    skipped = F.when(F.lit(header) & (F.col("_block") == 0), 1).otherwise(0)
     blocks = read.groupBy("_system", *block).agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_count"))
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_count"),
+    ).withColumns({"_first": F.col("_first") + skipped, "_count": F.col("_count") - skipped})
     return number_blocks(read, blocks, ["_system"], block, pos).drop("_system", *block)
 
 
