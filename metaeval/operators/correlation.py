@@ -18,7 +18,7 @@ def present(value: Column) -> Column:
 
 
 def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None,
-             window_cells: int = WINDOW_CELLS) -> DataFrame:
+             window_cells: int = WINDOW_CELLS, max_rows: int | None = None) -> DataFrame:
     """Spearman correlation of ``x`` and ``y`` in every ``by`` group.
 
     Pairs with a missing side are left out, ties share their mean rank, and a
@@ -52,7 +52,7 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
     if largest <= window_cells:
         sums = _sums_by_window(cells)
     else:
-        sums = _sums_by_range(cells)
+        sums = _sums_by_range(cells, max_rows)
     scale = F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))
     return sums.select(
         *[F.col("_g").getField(c).alias(c) for c in by], "n_rows",
@@ -108,7 +108,7 @@ def _sums_by_window(cells: DataFrame) -> DataFrame:
     )
 
 
-def _sums_by_range(cells: DataFrame) -> DataFrame:
+def _sums_by_range(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
     """As ``_sums_by_window``, with ranks taken over a range-partitioned order."""
     valid = cells.filter(F.col("_x").isNotNull())
     axes = F.explode(F.array(
@@ -131,7 +131,7 @@ def _sums_by_range(cells: DataFrame) -> DataFrame:
     # y ranks meet the cells, which are then summed per x; so the x ranks join
     # one row to one row, and only the first join can meet unequal keys.
     summed = (
-        join_by_weight(valid, y_ranks, ["_g", "_y"], "_cells", valid.count())
+        join_by_weight(valid, y_ranks, ["_g", "_y"], "_cells", valid.count(), max_rows=max_rows)
         .groupBy("_g", "_x").agg(F.sum(F.col("_n") * F.col("_cy")).alias("_s"))
     )
     by_x = summed.join(x_ranks, ["_g", "_x"]).groupBy("_g").agg(

@@ -17,20 +17,18 @@ HEAVY_SHARE = 1000
 MAX_HEAVY_KEY_BYTES = 1024
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """``df`` written out, its row count, and an estimate of its bytes."""
-    kept = cut(df)
-    texts = [f.name for f in kept.schema.fields
-             if isinstance(f.dataType, (StringType, BinaryType))]
-    nested = [f.name for f in kept.schema.fields
-              if f.dataType.typeName() in ("struct", "array", "map")]
+def within_limits(kept: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a table, counted and weighed, may be broadcast."""
     width = F.lit(16 * len(kept.columns))
-    for name in texts:
-        width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-    for name in nested:
-        width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(name)))), F.lit(0))
+    for field in kept.schema.fields:
+        column = F.col(field.name)
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        elif field.dataType.typeName() in ("struct", "array", "map"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
     rows, size = kept.agg(F.count(F.lit(1)), F.sum(width)).first()
-    return kept, rows, size or 0
+    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    return rows <= limit and (size or 0) <= MAX_BROADCAST_BYTES
 
 
 def attach(rows: DataFrame, small: DataFrame, on, spread, how: str = "left",
@@ -41,9 +39,8 @@ def attach(rows: DataFrame, small: DataFrame, on, spread, how: str = "left",
     both sides shuffle by key and salt: a row takes its salt from the ``spread``
     columns, and ``small`` is copied once per salt.
     """
-    kept, count, size = measured(small)
-    limit = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    if count <= limit and size <= MAX_BROADCAST_BYTES:
+    kept = cut(small)
+    if within_limits(kept, max_rows):
         return rows.join(F.broadcast(kept), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     copies = kept.withColumn(
@@ -52,14 +49,17 @@ def attach(rows: DataFrame, small: DataFrame, on, spread, how: str = "left",
 
 
 def join_by_weight(rows: DataFrame, lookup: DataFrame, on, weight: str, total: int,
-                   key_bytes=None) -> DataFrame:
+                   key_bytes=None, max_rows: int | None = None) -> DataFrame:
     """Inner join with ``lookup``, whose ``weight`` counts the ``rows`` of each key.
 
-    Keys holding more than 1/``HEAVY_SHARE`` of the ``total`` rows are fewer than
-    ``HEAVY_SHARE``, so they are broadcast; no other key can swamp a task, and
-    those meet their rows by an ordinary shuffle join. ``key_bytes`` is the size
-    of a key when keys are texts; long ones are never broadcast.
+    A lookup within the measured limits is broadcast. Beyond them, keys holding
+    more than 1/``HEAVY_SHARE`` of the ``total`` rows, fewer than ``HEAVY_SHARE``
+    keys, are; no other key can swamp a task, and those meet their rows by an
+    ordinary shuffle join. ``key_bytes`` is the size of a key when keys are texts;
+    long ones are never in the broadcast part. ``lookup`` is read more than once.
     """
+    if within_limits(lookup, max_rows):
+        return rows.join(F.broadcast(lookup), on)
     heavy = F.col(weight) * F.lit(HEAVY_SHARE) > F.lit(total)
     if key_bytes is not None:
         heavy = heavy & (key_bytes <= MAX_HEAVY_KEY_BYTES)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from metaeval.functions.predictions import is_number, plain_value, repaired_value
 from metaeval.operators.lookup import attach
+from metaeval.operators.splits import stack
 
 
 def malformed_counts(preds: DataFrame, run=("run",), text: str = "pred") -> DataFrame:
@@ -21,6 +22,14 @@ def malformed_rows(preds: DataFrame, text: str = "pred") -> DataFrame:
     return preds.filter(~is_number(F.col(text)))
 
 
+def malformed_report(preds: DataFrame, run=("run",), pos: str = "pos", text: str = "pred"
+                     ) -> DataFrame:
+    """The malformed rows with the counts of their run; a clean run shows once."""
+    counts = malformed_counts(preds, run, text)
+    listed = attach(malformed_rows(preds, text), counts, on=list(run), spread=[pos], how="inner")
+    return stack(listed, counts.filter("n_malformed = 0"))
+
+
 def parse_predictions(preds: DataFrame, run=("run",), pos: str = "pos", text: str = "pred",
                       name: str = "pred_value", max_rows: int | None = None) -> DataFrame:
     """Add the number each prediction stands for.

@@ -18,8 +18,8 @@ UNK_ID = 3
 FIRST_ID = 4
 
 WHITESPACE = r"[ \t\n\x0B\f\r]+"
-# Stands for the beginning of a sequence; no token holds a space.
-_BEGIN = " "
+# Stands for no token, at the ends of a text and in an empty one.
+_NONE = -1
 
 
 def tokens_of(text: Column) -> Column:
@@ -38,16 +38,8 @@ def build_vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return placed.select("token", "n", (F.col("_pos") + FIRST_ID).alias("id"))
 
 
-def _pieces(segment: int, text: Column) -> Column:
-    """The tokens with their place: STRUCT(seg, at, token); the first segment is opened."""
-    tokens = tokens_of(text)
-    if segment == 0:
-        tokens = F.concat(F.array(F.lit(_BEGIN)), tokens)
-    return F.transform(tokens, lambda t, at: F.struct(
-        F.lit(segment).alias("seg"), at.alias("at"), t.alias("token")))
-
-
-def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame) -> DataFrame:
+def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame,
+           max_rows: int | None = None) -> DataFrame:
     """Id arrays of the text ``segments`` of every row, one row per ``key``.
 
     ``segments`` maps output columns to text Columns. The first one begins with
@@ -56,26 +48,27 @@ def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame) ->
     The tokens that occur are counted and given their ids once; they come back to
     the rows by weight, since a few tokens make up most of any text.
     """
-    parts = [_pieces(i, text) for i, text in enumerate(segments.values())]
-    pieces = rows.select(key, F.explode(F.concat(*parts)).alias("_t")).select(
-        key, "_t.seg", "_t.at", "_t.token")
+    texts = F.array(*[F.coalesce(text, F.lit("")) for text in segments.values()])
+    # every segment has a piece, if only the empty text, so no row gets lost
+    pieces = rows.select(key, F.posexplode(texts).alias("seg", "_text")).select(
+        key, "seg", F.posexplode(F.split("_text", WHITESPACE, -1)).alias("at", "token"))
+    known = F.coalesce("id", F.lit(UNK_ID)).cast("int")
     ids = cut(
         pieces.groupBy("token").agg(F.count(F.lit(1)).alias("_weight"))
         .join(vocabulary.select("token", "id"), "token", "left")
-        .select(
-            "token", "_weight",
-            F.when(F.col("token") == _BEGIN, F.lit(BOS_ID))
-            .otherwise(F.coalesce("id", F.lit(UNK_ID))).cast("int").alias("id"),
-        )
+        .select("token", "_weight",
+                F.when(F.col("token") == "", F.lit(_NONE)).otherwise(known).alias("id"))
     )
     total = ids.agg(F.sum("_weight")).first()[0] or 0
-    known = join_by_weight(pieces, ids, ["token"], "_weight", total,
-                           key_bytes=F.octet_length("token"))
-    grouped = known.groupBy(key).agg(
+    found = join_by_weight(pieces, ids, ["token"], "_weight", total,
+                           key_bytes=F.octet_length("token"), max_rows=max_rows)
+    grouped = found.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("seg", "at", "id"))).alias("_all"))
 
-    def segment(i: int) -> Column:
-        return F.transform(F.filter("_all", lambda t: t["seg"] == i), lambda t: t["id"])
+    def segment(index: int) -> Column:
+        own = F.filter("_all", lambda t: (t["seg"] == index) & (t["id"] != _NONE))
+        ids = F.transform(own, lambda t: t["id"])
+        return ids if index else F.concat(F.array(F.lit(BOS_ID)), ids)
 
     return grouped.select(key, *[segment(i).alias(name) for i, name in enumerate(segments)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from metaeval.operators.alignment import align
 from metaeval.operators.correlation import oriented, spearman
@@ -61,14 +61,20 @@ PUBLISHED = (
 
 
 def grid_table(spark: SparkSession, grids=PUBLISHED) -> DataFrame:
-    """One row per metric, QE model, ASR and ST system of the ``grids``."""
-    rows = [
-        (g.dataset, g.config, g.split, metric, qe, asr, st)
-        for g in grids
-        for metric, qe, asr, st in product(g.metrics, g.qe_models, g.asr_systems, g.st_systems)
-    ]
-    return spark.createDataFrame(rows, ["dataset", "config", "split", "metric_model", "qe_model",
-                                        "asr", "st"])
+    """One row per metric, QE model, ASR and ST system of the ``grids``.
+
+    ``system_id`` numbers the rows; ``pool_id`` is shared by the ST systems whose
+    scores are pooled. Score rows carry these numbers instead of the names.
+    """
+    rows, pools = [], 0
+    for g in grids:
+        for metric, qe, asr in product(g.metrics, g.qe_models, g.asr_systems):
+            for st in g.st_systems:
+                rows.append((len(rows), pools, g.dataset, g.config, g.split, metric, qe, asr, st))
+            pools += 1
+    return spark.createDataFrame(
+        rows, "system_id int, pool_id int, dataset string, config string, split string, "
+        "metric_model string, qe_model string, asr string, st string")
 
 
 def qe_is_lower_better(model: Column) -> Column:
@@ -152,21 +158,39 @@ def cascade_pairs(grid: DataFrame, qe: DataFrame, metric: DataFrame) -> DataFram
 
     ``qe`` has the data columns, ``qe_model``, ``asr``, ``st``, ``pos``, ``qe``;
     ``metric`` the data columns, ``metric_model``, ``st``, ``pos``, ``metric``.
-    The grid is configuration and broadcast; the vectors meet on system and
-    position, which no value repeats.
+    The grid is configuration and broadcast to both sides; the vectors meet on
+    the number of the metric vector and the position, which no value repeats.
     """
+    vector = Window.orderBy(*DATA, "metric_model", "st")
+    # as many rows as the configuration names
+    systems = grid.withColumn("_vector", F.dense_rank().over(vector))
+    vectors = systems.select(*DATA, "metric_model", "st", "_vector").distinct()
     turned = qe.withColumn("qe", oriented(F.col("qe"), qe_is_lower_better(F.col("qe_model"))))
     other = metric.withColumn(
         "metric", oriented(F.col("metric"), metric_is_lower_better(F.col("metric_model"))))
-    wanted = turned.join(F.broadcast(grid), [*DATA, "qe_model", "asr", "st"])
-    return align(wanted, other, [*DATA, "metric_model", "st"])
+    wanted = turned.join(F.broadcast(systems), [*DATA, "qe_model", "asr", "st"]).select(
+        "system_id", "pool_id", "_vector", "pos", "qe")
+    labels = other.join(F.broadcast(vectors), [*DATA, "metric_model", "st"]).select(
+        "_vector", "pos", "metric")
+    return align(wanted, labels, ["_vector"]).select("system_id", "pool_id", "qe", "metric")
 
 
-def correlate_grid(pairs: DataFrame, levels: bool = True, **options) -> DataFrame:
+def correlate_grid(grid: DataFrame, pairs: DataFrame, **options) -> DataFrame:
     """Correlations of every grid system, and pooled over the ST systems."""
-    outer = [*DATA, "metric_model", "qe_model", "asr"]
-    kept = {"system": [*outer, "st"], "pooled": outer} if levels else {"pooled": outer}
-    return spearman(pairs, "qe", "metric", [*outer, "st"], levels=kept, **options)
+    found = spearman(pairs, "qe", "metric", ["system_id", "pool_id"],
+                     levels={"system": ["system_id"], "pooled": ["pool_id"]}, **options)
+    names = ["level", "_id", *DATA, "metric_model", "qe_model", "asr", "st"]
+    # literal rows, as many as the configuration names
+    labels = stack(
+        grid.withColumns({"level": F.lit("system"), "_id": F.col("system_id")}),
+        grid.withColumns({"level": F.lit("pooled"), "_id": F.col("pool_id"),
+                          "st": F.lit(None).cast("string")}),
+    ).select(*names).distinct()
+    return (
+        found.withColumn("_id", F.coalesce("system_id", "pool_id"))
+        .join(F.broadcast(labels), ["level", "_id"])
+        .select(*[c for c in names if c != "_id"], "n_rows", "n_pairs", "spearman")
+    )
 
 
 def run_cascade(spark: SparkSession, root: str, grids=PUBLISHED, folders=None, **options
@@ -184,4 +208,4 @@ def run_cascade(spark: SparkSession, root: str, grids=PUBLISHED, folders=None, *
     qe = vectors.join(F.broadcast(qe_names), "path").drop("path").withColumnRenamed("value", "qe")
     metric = vectors.join(F.broadcast(metric_names), "path").drop("path").withColumnRenamed(
         "value", "metric")
-    return correlate_grid(cascade_pairs(grid, qe, metric), **options)
+    return correlate_grid(grid, cascade_pairs(grid, qe, metric), **options)

@@ -21,7 +21,7 @@ from metaeval.operators.correlation import oriented, spearman, system_counts, sy
 from metaeval.operators.languages import with_language_name
 from metaeval.operators.ordering import with_positions
 from metaeval.operators.predictions import (
-    join_labels, malformed_counts, malformed_rows, parse_predictions,
+    join_labels, malformed_report, malformed_rows, parse_predictions,
 )
 from metaeval.operators.scoring import score
 from metaeval.operators.splits import (
@@ -383,9 +383,9 @@ def cascade_grid(spark, sf):
     systems = ("click", "error", "purchase", "signup", "view")
     grids = [Grid("covost2", config, "test0-500", v.METRIC_MODELS, v.QE_MODELS, v.ASR_SYSTEMS,
                   systems) for config in ("es_en", "en_de")]
-    pairs = cascade_pairs(grid_table(spark, grids), v.cascade_qe(spark, sf),
-                          v.cascade_metric(spark, sf))
-    return correlate_grid(pairs).select(
+    grid = grid_table(spark, grids)
+    pairs = cascade_pairs(grid, v.cascade_qe(spark, sf), v.cascade_metric(spark, sf))
+    return correlate_grid(grid, pairs).select(
         "level", "config", "metric_model", "qe_model", "asr", "st", "n_rows", "n_pairs", rounded())
 
 
@@ -501,8 +501,7 @@ def pred_parse_clean_run(spark, sf):
   UNION ALL SELECT run, NULL, NULL, count(*), 0 FROM parsed GROUP BY run HAVING bool_and(ok)""")
 def out_of_format_report(spark, sf):
     table = v.predictions(spark, sf).select("run", "pos", "pred")
-    return malformed_counts(table).join(malformed_rows(table), "run", "left").select(
-        "run", "pos", "pred", "n_rows", "n_malformed")
+    return malformed_report(table).select("run", "pos", "pred", "n_rows", "n_malformed")
 
 
 def _report_sql() -> str:
@@ -655,7 +654,8 @@ def ids_sql(rows: str, key: str, text: str, name: str, begin: bool = False) -> s
 @query(f"""WITH {VOCABULARY},
   turns AS (SELECT conv_id * 1000 + turn AS pos, text FROM conversations),
   {ids_sql('turns', 'pos', 'text', 'encoded', begin=True)}
-  SELECT pos, len(ids) AS n_ids, len(list_filter(ids, lambda i: i = 3)) AS n_unknown,
+  SELECT pos, CAST(len(ids) AS INTEGER) AS n_ids,
+    CAST(len(list_filter(ids, lambda i: i = 3)) AS INTEGER) AS n_unknown,
     {v.digest_sql('ids')} AS ids FROM encoded""")
 def token_encode(spark, sf):
     turns = v.table(spark, sf, "conversations").select(
@@ -688,7 +688,7 @@ def label_mask(spark, sf):
         v.digest(prompt_labels(ids, label_all=True), "all_labels"))
 
 
-@query(f"WITH {WORDS} SELECT batch_id, max(len(ids)) AS max_ids FROM words GROUP BY batch_id")
+@query(f"WITH {WORDS} SELECT batch_id, CAST(max(len(ids)) AS INTEGER) AS max_ids FROM words GROUP BY batch_id")
 def batch_max_len(spark, sf):
     return batch_lengths(with_batches(word_lengths(spark, sf), BATCH_SIZE), ["ids"])
 
@@ -699,7 +699,7 @@ def _pad_sql(filler: int, values: str) -> str:
 
 @query(f"""WITH {WORDS}, sized AS (
     SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS m FROM words)
-  SELECT pos, batch_id, m AS n, {_pad_sql(0, 'ids')} AS input_ids,
+  SELECT pos, batch_id, CAST(m AS INTEGER) AS n, {_pad_sql(0, 'ids')} AS input_ids,
     {_pad_sql(0, 'list_transform(ids, lambda i: 1)')} AS attention_mask,
     {_pad_sql(-100, 'list_transform(ids, lambda i: -100)')} AS labels FROM sized""")
 def batch_pad(spark, sf):
@@ -762,7 +762,7 @@ def speech_lengths(spark, sf):
 @query(f"""WITH cut AS (SELECT vec_id AS pos, vec_id // {BATCH_SIZE} AS batch_id,
     (vec_id * 7) % 60 + 1 AS n, embedding FROM embeddings),
   sized AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS m FROM cut)
-  SELECT pos, n, len(embedding[1:m]) AS kept,
+  SELECT pos, n, CAST(len(embedding[1:m]) AS INTEGER) AS kept,
     {v.digest_sql(v.thousandths_sql('embedding[1:m]'))} AS states FROM sized""")
 def truncate_to_max(spark, sf):
     rows = v.table(spark, sf, "embeddings").select(

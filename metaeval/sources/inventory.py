@@ -58,7 +58,11 @@ def readable_contents(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def flag_readable(manifest: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``is_readable`` to the manifest; a file not in the inventory is not."""
+    """Add ``is_readable`` to the manifest; a file not in the inventory is not.
+
+    Both tables may be large, so they shuffle by path; a path that many manifest
+    rows share is split by adaptive execution, which the session settings turn on.
+    """
     known = inventory.groupBy(path).agg(F.max("is_readable").alias("is_readable"))
     return manifest.join(known, path, "left").withColumn(
         "is_readable", F.coalesce("is_readable", F.lit(False)))
@@ -84,7 +88,8 @@ def probe_readable(manifest: DataFrame, path: str = "path", header_bytes: int =
                 return None
 
         for frame in frames:
-            yield frame.assign(_head=[head(name) for name in frame[path]])
+            heads = {name: head(name) for name in frame[path].dropna().unique()}
+            yield frame.assign(_head=[heads.get(name) for name in frame[path]])
 
     probed = manifest.mapInPandas(read_heads, schema)
     return probed.withColumn("is_readable", has_audio_header(F.col("_head"))).drop("_head")
