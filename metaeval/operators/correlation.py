@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from metaeval.operators.lookup import join_by_weight
+from metaeval.operators.lookup import join_by_weight, within_limits
 from metaeval.operators.ordering import group_key, running_totals
 from metaeval.session import cut
 
@@ -36,17 +36,18 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
     """
     by = list(by)
     both = present(F.col(x).cast("double")) & present(F.col(y).cast("double"))
+    group = group_key(by)
+    if levels is not None:
+        group = F.explode(_level_keys(pairs, by, levels))
+        by = ["level", *by]
     cells = (
         pairs.select(
-            group_key(by).alias("_g"),
+            group.alias("_g"),
             F.when(both, F.col(x).cast("double")).alias("_x"),
             F.when(both, F.col(y).cast("double")).alias("_y"),
         )
         .groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     )
-    if levels is not None:
-        cells = _at_levels(cells, pairs.schema, by, levels)
-        by = ["level", *by]
     cells = cut(cells)
     largest = cells.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
     if largest <= window_cells:
@@ -61,19 +62,14 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
     )
 
 
-def _at_levels(cells: DataFrame, schema, by, levels: dict) -> DataFrame:
-    """The cells once per level, counted again under the level's own keys."""
+def _level_keys(pairs: DataFrame, by, levels: dict) -> Column:
+    """The group keys a row has at every level, as an array of structs."""
     copies = []
     for level, kept in levels.items():
-        fields = [F.lit(level).alias("level")]
-        for c in by:
-            value = F.col("_g").getField(c) if c in kept else F.lit(None).cast(schema[c].dataType)
-            fields.append(value.alias(c))
-        copies.append(F.struct(*fields))
-    return (
-        cells.select(F.explode(F.array(*copies)).alias("_g"), "_x", "_y", "_n")
-        .groupBy("_g", "_x", "_y").agg(F.sum("_n").alias("_n"))
-    )
+        missing = {c: F.lit(None).cast(pairs.schema[c].dataType) for c in by if c not in kept}
+        copies.append(F.struct(
+            F.lit(level).alias("level"), *[missing.get(c, F.col(c)).alias(c) for c in by]))
+    return F.array(*copies)
 
 
 def _pair_count() -> Column:
@@ -130,9 +126,12 @@ def _sums_by_range(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
         "_g", F.col("_v").alias("_y"), F.col("_c").alias("_cy"), "_cells")
     # y ranks meet the cells, which are then summed per x; so the x ranks join
     # one row to one row, and only the first join can meet unequal keys.
+    if within_limits(y_ranks, max_rows):
+        joined = valid.join(F.broadcast(y_ranks), ["_g", "_y"])
+    else:
+        joined = join_by_weight(valid, y_ranks, ["_g", "_y"], "_cells", valid.count())
     summed = (
-        join_by_weight(valid, y_ranks, ["_g", "_y"], "_cells", valid.count(), max_rows=max_rows)
-        .groupBy("_g", "_x").agg(F.sum(F.col("_n") * F.col("_cy")).alias("_s"))
+        joined.groupBy("_g", "_x").agg(F.sum(F.col("_n") * F.col("_cy")).alias("_s"))
     )
     by_x = summed.join(x_ranks, ["_g", "_x"]).groupBy("_g").agg(
         F.sum(F.col("_w") * F.col("_c") * F.col("_c")).alias("_xx"),

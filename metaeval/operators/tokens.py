@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from metaeval.functions.arrays import ones_mask, prompt_labels
 from metaeval.functions.text import assistant_tail
-from metaeval.operators.lookup import join_by_weight
+from metaeval.operators.lookup import join_by_weight, within_limits
 from metaeval.operators.ordering import with_positions
 from metaeval.session import cut
 
@@ -49,19 +49,28 @@ def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame,
     the rows by weight, since a few tokens make up most of any text.
     """
     texts = F.array(*[F.coalesce(text, F.lit("")) for text in segments.values()])
-    # every segment has a piece, if only the empty text, so no row gets lost
-    pieces = rows.select(key, F.posexplode(texts).alias("seg", "_text")).select(
-        key, "seg", F.posexplode(F.split("_text", WHITESPACE, -1)).alias("at", "token"))
+    narrow = rows.select(key, texts.alias("_texts"))
+
+    def pieces(source: DataFrame) -> DataFrame:
+        # every segment has a piece, if only the empty text, so no row gets lost
+        return source.select(key, F.posexplode("_texts").alias("seg", "_text")).select(
+            key, "seg", F.posexplode(F.split("_text", WHITESPACE, -1)).alias("at", "token"))
+
     known = F.coalesce("id", F.lit(UNK_ID)).cast("int")
     ids = cut(
-        pieces.groupBy("token").agg(F.count(F.lit(1)).alias("_weight"))
+        pieces(narrow).groupBy("token").agg(F.count(F.lit(1)).alias("_weight"))
         .join(vocabulary.select("token", "id"), "token", "left")
         .select("token", "_weight",
                 F.when(F.col("token") == "", F.lit(_NONE)).otherwise(known).alias("id"))
     )
-    total = ids.agg(F.sum("_weight")).first()[0] or 0
-    found = join_by_weight(pieces, ids, ["token"], "_weight", total,
-                           key_bytes=F.octet_length("token"), max_rows=max_rows)
+    if within_limits(ids, max_rows):
+        # the texts are smaller than their ids with places: shuffle them instead
+        found = pieces(narrow.repartition(key)).join(
+            F.broadcast(ids.select("token", "id")), "token")
+    else:
+        total = ids.agg(F.sum("_weight")).first()[0]
+        found = join_by_weight(pieces(narrow), ids, ["token"], "_weight", total,
+                               key_bytes=F.octet_length("token"))
     grouped = found.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("seg", "at", "id"))).alias("_all"))
 
