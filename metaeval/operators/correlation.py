@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from metaeval.operators.lookup import join_by_weight, within_limits
+from metaeval.operators.lookup import attach, join_by_weight, within_limits
 from metaeval.operators.ordering import group_key, running_totals
+from metaeval.operators.splits import stack
 from metaeval.session import cut
 
 # Groups with at most this many distinct value pairs are ranked by a window each.
@@ -30,9 +31,9 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
     between levels, so one level cannot be derived from another.
 
     Rows are first counted per distinct pair of values (a cell); all later steps
-    work on the counts. If no group has more than ``window_cells`` cells, one
-    window per group ranks them. Otherwise ranks come from a range-partitioned
-    order, so a group may hold any share of the data.
+    work on the counts. Groups of at most ``window_cells`` cells are ranked by a
+    window each. Larger ones take their ranks from a range-partitioned order, so
+    a group may hold any share of the data. ``max_rows`` bounds the broadcasts.
     """
     by = list(by)
     both = present(F.col(x).cast("double")) & present(F.col(y).cast("double"))
@@ -49,11 +50,19 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
         .groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     )
     cells = cut(cells)
-    largest = cells.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+    sizes = cells.groupBy("_g").count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= window_cells:
         sums = _sums_by_window(cells)
     else:
-        sums = _sums_by_range(cells, max_rows)
+        # fewer large groups than cells / window_cells
+        large = sizes.filter(F.col("count") > window_cells).select(
+            "_g", F.lit(True).alias("_large"))
+        marked = attach(cells, large, ["_g"], spread=["_x", "_y"], max_rows=max_rows)
+        sums = stack(
+            _sums_by_window(marked.filter("_large IS NULL")),
+            _sums_by_range(marked.filter("_large").drop("_large"), max_rows),
+        )
     scale = F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))
     return sums.select(
         *[F.col("_g").getField(c).alias(c) for c in by], "n_rows",

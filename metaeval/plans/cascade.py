@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metaeval.operators.alignment import align
 from metaeval.operators.correlation import oriented, spearman
@@ -64,17 +64,27 @@ def grid_table(spark: SparkSession, grids=PUBLISHED) -> DataFrame:
     """One row per metric, QE model, ASR and ST system of the ``grids``.
 
     ``system_id`` numbers the rows; ``pool_id`` is shared by the ST systems whose
-    scores are pooled. Score rows carry these numbers instead of the names.
+    scores are pooled, ``qe_id`` by the rows of one QE vector, ``translation_id``
+    by those of one translation. Score rows carry numbers instead of names.
     """
-    rows, pools = [], 0
+    numbers: dict = {}
+
+    def number(kind: str, *names) -> int:
+        known = numbers.setdefault(kind, {})
+        return known.setdefault(names, len(known))
+
+    rows = []
     for g in grids:
-        for metric, qe, asr in product(g.metrics, g.qe_models, g.asr_systems):
-            for st in g.st_systems:
-                rows.append((len(rows), pools, g.dataset, g.config, g.split, metric, qe, asr, st))
-            pools += 1
+        data = (g.dataset, g.config, g.split)
+        for metric, qe, asr, st in product(g.metrics, g.qe_models, g.asr_systems, g.st_systems):
+            rows.append((
+                len(rows), number("pool", data, metric, qe, asr), number("qe", data, qe, asr, st),
+                number("translation", data, st), number("metric", metric), *data, metric, qe, asr,
+                st))
     return spark.createDataFrame(
-        rows, "system_id int, pool_id int, dataset string, config string, split string, "
-        "metric_model string, qe_model string, asr string, st string")
+        rows, "system_id int, pool_id int, qe_id int, translation_id int, metric_id int, "
+        "dataset string, config string, split string, metric_model string, qe_model string, "
+        "asr string, st string")
 
 
 def qe_is_lower_better(model: Column) -> Column:
@@ -158,21 +168,27 @@ def cascade_pairs(grid: DataFrame, qe: DataFrame, metric: DataFrame) -> DataFram
 
     ``qe`` has the data columns, ``qe_model``, ``asr``, ``st``, ``pos``, ``qe``;
     ``metric`` the data columns, ``metric_model``, ``st``, ``pos``, ``metric``.
-    The grid is configuration and broadcast to both sides; the vectors meet on
-    the number of the metric vector and the position, which no value repeats.
+    The grid is configuration and broadcast. All metrics of a segment are brought
+    together first, so a QE row crosses the network once however many metrics it
+    is compared with. Both sides meet on the translation's number and the
+    position, which no value repeats.
     """
-    vector = Window.orderBy(*DATA, "metric_model", "st")
-    # as many rows as the configuration names
-    systems = grid.withColumn("_vector", F.dense_rank().over(vector))
-    vectors = systems.select(*DATA, "metric_model", "st", "_vector").distinct()
-    turned = qe.withColumn("qe", oriented(F.col("qe"), qe_is_lower_better(F.col("qe_model"))))
-    other = metric.withColumn(
-        "metric", oriented(F.col("metric"), metric_is_lower_better(F.col("metric_model"))))
-    wanted = turned.join(F.broadcast(systems), [*DATA, "qe_model", "asr", "st"]).select(
-        "system_id", "pool_id", "_vector", "pos", "qe")
-    labels = other.join(F.broadcast(vectors), [*DATA, "metric_model", "st"]).select(
-        "_vector", "pos", "metric")
-    return align(wanted, labels, ["_vector"]).select("system_id", "pool_id", "qe", "metric")
+    qe_ids = grid.select(*DATA, "qe_model", "asr", "st", "qe_id", "translation_id").distinct()
+    metric_ids = grid.select(
+        *DATA, "metric_model", "st", "translation_id", "metric_id").distinct()
+    turned = oriented(F.col("qe"), qe_is_lower_better(F.col("qe_model"))).alias("qe")
+    other = oriented(F.col("metric"), metric_is_lower_better(F.col("metric_model")))
+    first = qe.join(F.broadcast(qe_ids), [*DATA, "qe_model", "asr", "st"]).select(
+        "translation_id", "pos", "qe_id", turned)
+    # one entry per metric model
+    second = (
+        metric.join(F.broadcast(metric_ids), [*DATA, "metric_model", "st"])
+        .groupBy("translation_id", "pos")
+        .agg(F.map_from_entries(F.collect_list(F.struct("metric_id", other))).alias("_metrics"))
+    )
+    wanted = grid.select("qe_id", "metric_id", "system_id", "pool_id")
+    return align(first, second, ["translation_id"]).join(F.broadcast(wanted), "qe_id").select(
+        "system_id", "pool_id", "qe", F.element_at("_metrics", F.col("metric_id")).alias("metric"))
 
 
 def correlate_grid(grid: DataFrame, pairs: DataFrame, **options) -> DataFrame:

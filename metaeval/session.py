@@ -12,9 +12,12 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a join side that is small per partition is hashed rather than sorted
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.checkpoint.compress": "true",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     # intermediate tables go when nothing refers to them any more
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

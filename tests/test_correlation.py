@@ -50,6 +50,8 @@ PATHS = {
     "window": {},
     "range, ranks broadcast": {"window_cells": 0},
     "range, ranks joined by weight": {"window_cells": 0, "max_rows": 0},
+    "large groups apart": {"window_cells": 60},
+    "large groups apart, salted": {"window_cells": 60, "max_rows": 0},
 }
 
 
