@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from metaeval.operators.batches import encoded_fillers, pad_batches, with_batches
+from metaeval.operators.batches import BATCH, encoded_fillers, pad_batches, with_batches
 from metaeval.operators.correlation import correlation_report
-from metaeval.operators.predictions import join_labels, parse_predictions
+from metaeval.operators.predictions import parse_predictions
 from metaeval.operators.scoring import score
 from metaeval.operators.splits import require_rows
 from metaeval.operators.tokens import PAD_ID
@@ -51,18 +51,19 @@ def evaluate(rows: DataFrame, load_scorer, output: str, batch_size: int = 1,
              pad_id: int = PAD_ID) -> DataFrame:
     """Score encoded rows and write predictions and the result record below ``output``.
 
-    Predictions are read back from the written file, so that neither a lost
-    executor nor the report runs the scorer again. Returns the summary.
+    Scored rows are written, without their arrays, before anything else reads
+    them, so that neither a lost executor nor the report runs the scorer again.
+    Returns the summary.
     """
     spark = rows.sparkSession
     rows = require_rows(rows, "the test set has no rows")
-    batched = pad_batches(with_batches(rows, batch_size), encoded_fillers(pad_id))
-    scored = score(batched, load_scorer, batch_size)
+    fillers = encoded_fillers(pad_id)
+    scored = score(pad_batches(with_batches(rows, batch_size), fillers), load_scorer, batch_size)
     name = prediction_name(prefix, manifest_files, split, config)
     path = f"{output}/{name}"
-    scored.select("pos", "pred_strings").write.mode("overwrite").parquet(f"{path}.rows")
+    scored.drop(*fillers, BATCH).write.mode("overwrite").parquet(f"{path}.rows")
     kept = spark.read.parquet(f"{path}.rows")
     write_predictions(kept, path)
-    parsed, summary = report(join_labels(kept, rows))
+    parsed, summary = report(kept)
     write_record(summary, parsed, f"{output}/{record_name(name, output_name)}", arguments)
     return summary
