@@ -10,7 +10,7 @@ from metaeval.operators.splits import stack
 from metaeval.session import cut
 
 # Groups with at most this many distinct value pairs are ranked by a window each.
-WINDOW_CELLS = 2_000_000
+WINDOW_CELLS = 1_000_000
 
 
 def present(value: Column) -> Column:
@@ -37,40 +37,40 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
     """
     by = list(by)
     both = present(F.col(x).cast("double")) & present(F.col(y).cast("double"))
-    group = group_key(by)
-    if levels is not None:
-        group = F.explode(_level_keys(pairs, by, levels))
+    values = [F.when(both, F.col(x).cast("double")).alias("_x"),
+              F.when(both, F.col(y).cast("double")).alias("_y")]
+    if levels is None:
+        narrow = pairs.select(*by, *values)
+    else:
+        keys = F.explode(_level_keys(pairs, by, levels)).alias("_k")
         by = ["level", *by]
-    cells = (
-        pairs.select(
-            group.alias("_g"),
-            F.when(both, F.col(x).cast("double")).alias("_x"),
-            F.when(both, F.col(y).cast("double")).alias("_y"),
-        )
-        .groupBy("_g", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cells = cut(cells)
-    sizes = cells.groupBy("_g").count()
+        narrow = pairs.select(keys, *values).select("_k.*", "_x", "_y")
+    cells = cut(narrow.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = cells.groupBy(*by).count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= window_cells:
-        sums = _sums_by_window(cells)
+        sums = _sums_by_window(cells, by)
     else:
         # fewer large groups than cells / window_cells
-        large = sizes.filter(F.col("count") > window_cells).select(
-            "_g", F.lit(True).alias("_large"))
-        marked = attach(cells, large, ["_g"], spread=["_x", "_y"], max_rows=max_rows)
-        sums = stack(
-            _sums_by_window(marked.filter("_large IS NULL")),
-            _sums_by_range(marked.filter("_large").drop("_large"), max_rows),
-        )
+        large = cut(sizes.filter(F.col("count") > window_cells).select(
+            group_key(by).alias("_g"), F.monotonically_increasing_id().alias("_i")))
+        marked = attach(cells.withColumn("_g", group_key(by)), large, ["_g"],
+                        spread=["_x", "_y"], max_rows=max_rows)
+        numbered = cut(marked.filter("_i IS NOT NULL").select("_i", "_x", "_y", "_n"))
+        sums = _sums_by_range(numbered, max_rows).join(large, "_i").select(
+            *[F.col("_g").getField(c).alias(c) for c in by], *SUMS)
+        if by:
+            sums = stack(sums, _sums_by_window(marked.filter("_i IS NULL"), by))
     scale = F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))
     return sums.select(
-        *[F.col("_g").getField(c).alias(c) for c in by], "n_rows",
-        F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
+        *by, "n_rows", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
         F.try_divide(F.col("_xy"), scale).alias("spearman"),
     )
 
 
+SUMS = ["n_rows", "n_pairs", "_xx", "_yy", "_xy"]
+
+
 def _level_keys(pairs: DataFrame, by, levels: dict) -> Column:
     """The group keys a row has at every level, as an array of structs."""
     copies = []
@@ -85,7 +85,7 @@ def _pair_count() -> Column:
     return F.when(F.col("_x").isNotNull(), F.col("_n"))
 
 
-def _sums_by_window(cells: DataFrame) -> DataFrame:
+def _sums_by_window(cells: DataFrame, by) -> DataFrame:
     """Row counts and sums of squares and products of the centred ranks, per group.
 
     A centred rank is the mean rank minus the group's middle rank: half of
@@ -93,7 +93,7 @@ def _sums_by_window(cells: DataFrame) -> DataFrame:
     sums to exactly zero. Invalid pairs form one cell that weighs nothing.
     """
     def up_to_and_ties(df: DataFrame, value: str) -> DataFrame:
-        ordered = Window.partitionBy("_g").orderBy(value)
+        ordered = Window.partitionBy(*by).orderBy(value)
         return df.withColumns({
             "_up": F.sum("_p").over(ordered.rangeBetween(Window.unboundedPreceding, 0)),
             "_ties": F.sum("_p").over(ordered.rangeBetween(0, 0)),
@@ -101,10 +101,10 @@ def _sums_by_window(cells: DataFrame) -> DataFrame:
 
     centred = F.col("_up") - (F.col("_ties") + F.col("_all")) / F.lit(2.0)
     ranked = up_to_and_ties(cells.withColumn("_p", F.coalesce(_pair_count(), F.lit(0))), "_x")
-    ranked = ranked.withColumn("_all", F.sum("_p").over(Window.partitionBy("_g")))
+    ranked = ranked.withColumn("_all", F.sum("_p").over(Window.partitionBy(*by)))
     ranked = ranked.withColumn("_cx", centred)
     ranked = up_to_and_ties(ranked, "_y").withColumn("_cy", centred)
-    return ranked.groupBy("_g").agg(
+    return ranked.groupBy(*by).agg(
         F.sum("_n").alias("n_rows"),
         F.sum("_p").alias("n_pairs"),
         F.sum(F.col("_p") * F.col("_cx") * F.col("_cx")).alias("_xx"),
@@ -114,43 +114,41 @@ def _sums_by_window(cells: DataFrame) -> DataFrame:
 
 
 def _sums_by_range(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """As ``_sums_by_window``, with ranks taken over a range-partitioned order."""
+    """As ``_sums_by_window`` per group number ``_i``, with ranks from a ranged order."""
     valid = cells.filter(F.col("_x").isNotNull())
     axes = F.explode(F.array(
-        F.struct(F.lit("x").alias("axis"), F.col("_x").alias("v")),
-        F.struct(F.lit("y").alias("axis"), F.col("_y").alias("v")),
+        F.struct(F.lit(0).alias("axis"), F.col("_x").alias("v")),
+        F.struct(F.lit(1).alias("axis"), F.col("_y").alias("v")),
     ))
     values = (
-        valid.select("_g", "_n", axes.alias("_a"))
-        .groupBy(F.struct("_g", "_a.axis").alias("_ga"), F.col("_a.v").alias("_v"))
+        valid.select("_i", "_n", axes.alias("_a"))
+        .groupBy("_i", F.col("_a.axis").alias("axis"), F.col("_a.v").alias("_v"))
         .agg(F.sum("_n").alias("_w"), F.count(F.lit(1)).alias("_cells"))
     )
     centred = F.col("_before") + (F.col("_w") - F.col("_total")) / F.lit(2.0)
-    ranks = cut(
-        running_totals(values, "_ga", ["_v"], "_w")
-        .select("_ga._g", "_ga.axis", "_v", "_w", "_cells", centred.alias("_c"))
-    )
-    x_ranks = ranks.filter("axis = 'x'").select("_g", F.col("_v").alias("_x"), "_w", "_c")
-    y_ranks = ranks.filter("axis = 'y'").select(
-        "_g", F.col("_v").alias("_y"), F.col("_c").alias("_cy"), "_cells")
+    ranks = cut(running_totals(values, ["_i", "axis"], ["_v"], "_w").select(
+        "_i", "axis", "_v", "_w", "_cells", centred.alias("_c")))
+    x_ranks = ranks.filter("axis = 0").select("_i", F.col("_v").alias("_x"), "_w", "_c")
+    y_ranks = ranks.filter("axis = 1").select(
+        "_i", F.col("_v").alias("_y"), F.col("_c").alias("_cy"), "_cells")
     # y ranks meet the cells, which are then summed per x; so the x ranks join
     # one row to one row, and only the first join can meet unequal keys.
     if within_limits(y_ranks, max_rows):
-        joined = valid.join(F.broadcast(y_ranks), ["_g", "_y"])
+        joined = valid.join(F.broadcast(y_ranks), ["_i", "_y"])
     else:
-        joined = join_by_weight(valid, y_ranks, ["_g", "_y"], "_cells", valid.count())
+        joined = join_by_weight(valid, y_ranks, ["_i", "_y"], "_cells", valid.count())
     summed = (
-        joined.groupBy("_g", "_x").agg(F.sum(F.col("_n") * F.col("_cy")).alias("_s"))
+        joined.groupBy("_i", "_x").agg(F.sum(F.col("_n") * F.col("_cy")).alias("_s"))
     )
-    by_x = summed.join(x_ranks, ["_g", "_x"]).groupBy("_g").agg(
+    by_x = summed.join(x_ranks, ["_i", "_x"]).groupBy("_i").agg(
         F.sum(F.col("_w") * F.col("_c") * F.col("_c")).alias("_xx"),
         F.sum(F.col("_c") * F.col("_s")).alias("_xy"),
     )
-    by_y = ranks.filter("axis = 'y'").groupBy("_g").agg(
+    by_y = ranks.filter("axis = 1").groupBy("_i").agg(
         F.sum(F.col("_w") * F.col("_c") * F.col("_c")).alias("_yy"))
-    sizes = cells.groupBy("_g").agg(
+    sizes = cells.groupBy("_i").agg(
         F.sum("_n").alias("n_rows"), F.sum(_pair_count()).alias("n_pairs"))
-    return sizes.join(by_x, "_g", "left").join(by_y, "_g", "left")
+    return sizes.join(by_x, "_i", "left").join(by_y, "_i", "left")
 
 
 def correlation_report(rows: DataFrame, prediction: str, labels: dict, by=(),

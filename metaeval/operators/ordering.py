@@ -60,26 +60,27 @@ def number_blocks(rows: DataFrame, blocks: DataFrame, group, order, name: str) -
     )
 
 
-def running_totals(rows: DataFrame, group: str, order, weight: str) -> DataFrame:
+def running_totals(rows: DataFrame, group, order, weight: str) -> DataFrame:
     """Add ``_before`` and ``_total``: the weight ahead of a row, and of its group.
 
-    ``group`` is a struct column; (``group``, ``order``) must be unique.
+    ``group`` columns must not be NULL; ``group`` + ``order`` must be unique.
     """
-    ranged = cut(rows.repartitionByRange(group, *order).withColumn(
+    group = list(group)
+    ranged = cut(rows.repartitionByRange(*group, *order).withColumn(
         "_range", F.spark_partition_id()))
-    totals = ranged.groupBy(group, "_range").agg(F.sum(weight).alias("_sum"))
-    by_range = Window.partitionBy(group).orderBy("_range")
+    totals = ranged.groupBy(*group, "_range").agg(F.sum(weight).alias("_sum"))
+    by_range = Window.partitionBy(*group).orderBy("_range")
     offsets = totals.select(
-        group, "_range",
+        *group, "_range",
         F.coalesce(F.sum("_sum").over(by_range.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"),
-        F.sum("_sum").over(Window.partitionBy(group)).alias("_total"),
+        F.sum("_sum").over(Window.partitionBy(*group)).alias("_total"),
     )
-    inside = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     return (
-        local.join(offsets, [group, "_range"])
+        local.join(offsets, [*group, "_range"])
         .withColumn("_before", F.col("_offset") + F.col("_local"))
         .drop("_offset", "_local", "_range")
     )
