@@ -13,7 +13,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
 def test_query_gives_the_result_of_its_sql(spark, con, name):
     got = compare.spark_rows(entry_point.queries()[name](spark, SF))
     want = compare.sql_rows(con, entry_point.oracle_sql()[name])
