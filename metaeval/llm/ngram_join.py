@@ -31,11 +31,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from metaeval.llm import bits, flat
+from metaeval.llm.cells import frequent_slots
 from metaeval.llm.components import components
 from metaeval.llm.registry import query
 
@@ -43,8 +43,6 @@ WORDS = 5
 #: Similarity of at least 3 / 4: 4 * common >= 3 * union, or 7 * common >= 3 * (a + b).
 FREQUENT = (8, 64, 1024)
 BITMAP_BITS = 25
-CELL_BITS = 34
-FLUSH = 4_000_000
 CLASSES = 64
 ORDERS = (np.uint64(0x1F3D5B79), np.uint64(0x2545F4914F6CDD1D))
 
@@ -91,59 +89,6 @@ def _over_sets(rows: DataFrame, schema: T.StructType, handle: Callable) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def frequency_bitmaps(rows: DataFrame) -> list[np.ndarray]:
-    """For each threshold, the hash slots of tokens that at least so many documents hold.
-
-    Tasks send sorted cells of the hash space, by ranges; a range's counts meet in
-    one group. The thresholds rise with the mean load of a cell.
-    """
-    spark = rows.sparkSession
-    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    range_bits = min(CELL_BITS - 10, BITMAP_BITS - 3, (parts - 1).bit_length())
-
-    def flush(state: dict) -> Iterator[pa.RecordBatch]:
-        cells = np.sort(np.concatenate(state.pop("sets"))) >> np.uint64(64 - CELL_BITS)
-        state["n"] = 0
-        part = (cells >> np.uint64(CELL_BITS - range_bits)).astype(np.int64)
-        at = np.flatnonzero(np.diff(part, prepend=-1))
-        blobs = []
-        for first, end in zip(at.tolist(), [*at[1:].tolist(), len(cells)]):
-            steps = np.diff(cells[first:end], prepend=np.uint64(part[first]) << np.uint64(CELL_BITS - range_bits))
-            # bytes of equal weight beside each other: they compress in the shuffle
-            blobs.append(np.ascontiguousarray(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "cells"])
-
-    def handle(state: dict, ids, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if sets:
-            state.setdefault("sets", []).extend(sets)
-            state["n"] = state.get("n", 0) + sum(map(len, sets))
-        if state.get("n", 0) >= (FLUSH if sets else 1):
-            yield from flush(state)
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iloc[0])
-        base = part << (CELL_BITS - range_bits)
-        cells = [base + np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").astype(np.int64).ravel()) for x in group["cells"]]
-        found, n = np.unique(np.concatenate(cells), return_counts=True)
-        load = 1 + sum(map(len, cells)) / (1 << (CELL_BITS - range_bits))
-        out = []
-        size = 1 << (BITMAP_BITS - range_bits)
-        for k, least in enumerate(FREQUENT):
-            marks = np.zeros(size, np.uint8)
-            marks[((found[n >= least * load] >> (CELL_BITS - BITMAP_BITS)) - part * size)] = 1
-            if marks.any():
-                out.append((k, part, np.packbits(marks, bitorder="little").tobytes()))
-        return pd.DataFrame(out, columns=["threshold", "part", "packed"])
-
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("cells", T.BinaryType())])
-    counted = _over_sets(rows, schema, handle).groupBy("part").applyInPandas(count, "threshold long, part long, packed binary")
-    maps = [np.zeros((1 << BITMAP_BITS) // 8, np.uint8) for _ in FREQUENT]
-    size = (1 << (BITMAP_BITS - range_bits)) // 8
-    for r in counted.toLocalIterator():
-        maps[r["threshold"]][r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(bytes(r["packed"]), np.uint8)
-    return maps
-
-
 def frequency(tokens: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
     return sum(bits.has(m, tokens, BITMAP_BITS).astype(np.int64) for m in maps)
 
@@ -356,7 +301,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """Every document (id, n, sig), and the component of each set that has a link to a different one (node, component)."""
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    maps = spark.sparkContext.broadcast(frequency_bitmaps(rows))
+    maps = spark.sparkContext.broadcast(frequent_slots(rows, shingle_sets, FREQUENT, BITMAP_BITS))
     sets = flat.written(_sets_with_prefix(rows, maps))
     shared = flat.written(_shared_tokens(sets))
     led = shared.filter("sig != leader").filter(_may_link(F.col("n"), F.col("leader_n"), F.col("pos"), F.col("leader_pos")))
