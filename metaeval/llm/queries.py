@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from metaeval.llm import byte_bpe, chat_format, decontamination, language_model, line_crf, line_dedup, ngram_join, quality_rules, toxicity_gru  # noqa: F401
+from metaeval.llm import byte_bpe, chat_format, decontamination, language_model, line_crf, line_dedup, ngram_join, quality_rules, suffix_dedup, toxicity_gru  # noqa: F401
 from metaeval.llm.registry import ORACLE, QUERIES  # noqa: F401
