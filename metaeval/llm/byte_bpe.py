@@ -161,7 +161,10 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
         for batch in batches:
-            texts = [bpe.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            texts = [bpe.decode(ids[first:end].tobytes()) for first, end in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -81,18 +81,22 @@ def repeated_lines(documents: DataFrame, id_column: str = "doc_id", text_column:
     return both.select("id", "key", F.transform("covered", lambda j: F.get("places", j)).alias("deleted"))
 
 
-def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, with the later repeated lines deleted from their texts; ``deleted`` has their number."""
+def marked(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Each document as the struct ``row``, beside the ``text`` that stays and the number of ``deleted`` lines."""
     gone = repeated_lines(documents, id_column, text_column)
-    d = documents.withColumn("_key", F.xxhash64(text_column)).alias("d")
-    g = gone.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("deleted").alias("_gone"))
-    joined = d.join(g, F.col(f"d.{id_column}").eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
-    marks = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda x: F.lit(True)))
-    left = F.filter(F.split(F.col(f"d.{text_column}"), "\n"), lambda line, i: F.element_at(F.col("_marks"), i).isNull())
-    joined = joined.withColumn("_marks", marks)
-    text = F.when(F.col("_gone").isNull(), F.col(f"d.{text_column}")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*(text.alias(c) if c == text_column else F.col(f"d.{c}") for c in documents.columns),
-                         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("deleted"))
+    d = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"),
+                         F.xxhash64(text_column).alias("key"))
+    g = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"), F.map_from_arrays("deleted", F.transform("deleted", lambda x: F.lit(True))).alias("gone"))
+    joined = d.join(g, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    left = F.filter(F.split("text", "\n"), lambda line, i: F.element_at(F.col("gone"), i).isNull())
+    return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("deleted"))
+
+
+def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, with the later repeated lines deleted from their texts."""
+    out = marked(documents, id_column, text_column)
+    return out.select(*((F.col("text") if c == text_column else F.col("row").getField(c)).alias(c) for c in documents.columns))
 
 
 SQL = f"""
@@ -118,5 +122,5 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Number of lines, of deleted lines, and digest of what stays, for every document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    out = without_repeats(documents.withColumn("n_lines", n_lines))
-    return out.select("doc_id", "n_lines", F.col("deleted").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = marked(documents.withColumn("n_lines", n_lines))
+    return out.select("row.doc_id", "row.n_lines", F.col("deleted").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

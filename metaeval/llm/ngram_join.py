@@ -13,8 +13,8 @@ sets.
   Within a class of frequency each order has its own hash.
 * The first order finds the candidates: prefix tokens are shuffled and sorted, and
   tokens that several sets share are kept. Equal sets travel once.
-* Among the sets that share a token, all are held against the first of them;
-  links give components. Then only sets of different components that share a
+* Among the sets that share a token, all are held against a leader, the set with
+  the fewest rare tokens; links give components. Then only sets of different components that share a
   token are held against each other. No pair inside a component is made, so a
   group of near copies costs its size, and no link between components is missed.
 
@@ -100,29 +100,35 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, order: np.uint64 | None) ->
 
 
 def _sets_with_prefix(rows: DataFrame, maps) -> DataFrame:
-    """id, n_shingles, signature and the prefix tokens; a task gives those of equal sets once."""
-    schema = T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """id, n_shingles, signature, number of rare tokens and the prefix tokens; a task gives those of equal sets once."""
+    schema = T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("rare", T.LongType()),
+                           T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def handle(state: dict, ids, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sets:
             return
         seen = state.setdefault("seen", set())
-        sigs, heads, known = [signature(s) for s in sets], [], np.concatenate(sets)
+        sigs, heads, rare, known = [signature(s) for s in sets], [], [], np.concatenate(sets)
         frequent, first = frequency(known, maps.value), 0
         for sig, tokens in zip(sigs, sets):
             heads.append(np.zeros(0, np.uint64) if sig in seen else prefix(tokens, frequent[first:first + len(tokens)], None))
+            rare.append(int((frequent[first:first + len(tokens)] == 0).sum()))
             seen.add(sig)
             first += len(tokens)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(np.array(sigs, np.int64)),
+            [ids, pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(np.array(sigs, np.int64)), pa.array(rare, pa.int64()),
              flat.lists(flat.signed(np.concatenate(heads)), np.array([len(h) for h in heads]))], names=schema.names)
 
     return _over_sets(rows, schema, handle)
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
-    """token, set, its size, the token's place in it, and the first set with the token; tokens of one set are left out."""
-    posts = sets.select("sig", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token").sortWithinPartitions("token", "sig")
+    """token, set, its size, the token's place in it, and the token's leader; tokens of one set are left out.
+
+    The leader is the set with the fewest rare tokens: of a text and its edited
+    copies that is the text, to which most copies are closer than to each other.
+    """
+    posts = sets.select("sig", "n", "rare", F.posexplode("prefix").alias("pos", "token")).repartition("token").sortWithinPartitions("token", "rare", "sig")
     names = ["token", "sig", "n", "pos"]
     schema = "token long, sig long, n long, pos int, leader long, leader_n long, leader_pos int"
     out_names = [c.split()[0] for c in schema.split(", ")]
