@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from metaeval.llm import flat
+
 CHUNK_BITS = 17
 
 
@@ -42,6 +44,7 @@ def of_slots(places: DataFrame, bits: int) -> np.ndarray:
     size = (1 << chunk) // 8
     for row in parts.toLocalIterator():
         bitmap[row["chunk"] * size:(row["chunk"] + 1) * size] = np.frombuffer(bytes(row["packed"]), np.uint8)
+    flat.release(places.sparkSession)
     return bitmap
 
 

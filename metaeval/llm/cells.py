@@ -76,4 +76,5 @@ def frequent_slots(rows: DataFrame, hashes: Callable, thresholds: Sequence[float
     size = (1 << (bitmap_bits - range_bits)) // 8
     for r in counted.toLocalIterator():
         maps[r["threshold"]][r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(bytes(r["packed"]), np.uint8)
+    flat.release(spark)
     return maps

@@ -8,6 +8,7 @@ odd number modulo 2^64, then mixed.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -165,4 +166,15 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a small heap may not need
+    for hours while the executors' disks fill up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

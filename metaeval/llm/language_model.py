@@ -216,6 +216,7 @@ def train(rows: DataFrame, words: DataFrame, tokens: int, distinct: int) -> Filt
     for r in placed.groupBy("segment").applyInPandas(fill, "segment long, packed binary").toLocalIterator():
         first = r["segment"] * segment // 8
         made.packed[first:first + segment // 8] = np.frombuffer(bytes(r["packed"]), np.uint8)
+    flat.release(spark)
     made.stored_mass = float(stored.filter("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     return made
 
