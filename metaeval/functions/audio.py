@@ -41,6 +41,7 @@ def has_audio_header(content: Column) -> Column:
     return F.coalesce(
         start.rlike(
             r"\A(?:52494646.{8}57415645"  # RIFF....WAVE
+            r"|(?:52494658|52463634).{8}57415645"  # RIFX, RF64
             r"|664C6143"  # fLaC
             r"|4F676753"  # OggS
             r"|494433"  # ID3

@@ -54,11 +54,16 @@ def target_text(text: Column, remove: str | None = None, lower: bool = True) ->
 
 def prompt_prefix(instruction: Column, language: Column | None = None, chatml: bool = False,
                   indicate_audio: bool = True) -> Column:
-    """The text before the speech; ``language`` is a display name or ``None``."""
+    """The text before the speech; ``language`` is a display name or ``None``.
+
+    A missing instruction reads ``None``. A row without a language raises.
+    """
     user = F.lit(CHATML_USER if chatml else PLAIN_USER)
+    instruction = F.coalesce(instruction, F.lit("None"))
     if language is None:
         return F.concat(user, instruction, F.lit(" "))
     mark = " audio: " if indicate_audio else ": "
+    language = F.coalesce(language, F.raise_error(F.lit("a row has no language")).cast("string"))
     return F.concat(user, instruction, F.lit("\n"), language, F.lit(mark))
 
 
@@ -115,6 +120,11 @@ def cache_key(manifest: Column, tokenizer: str, lower: bool, remove: Column,
     return name if extra is None else F.concat(name, F.lit("_"), extra)
 
 
+def decoded_path(path: Column) -> Column:
+    """A file address as written, from the percent-encoded form of ``_metadata.file_path``."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def file_safe(name: Column) -> Column:
     """A model or dataset name as it appears in file names."""
     return F.replace(name, F.lit("/"), F.lit("_"))

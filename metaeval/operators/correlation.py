@@ -192,8 +192,11 @@ def system_means(scores: DataFrame, keys, value: str = "value") -> DataFrame:
 
 
 def system_counts(scores: DataFrame, outer: str, inner: str) -> DataFrame:
-    """Rows per (outer, inner) system, and per outer system over all inner ones."""
+    """Rows per (outer, inner) system, and per outer system over all inner ones.
+
+    ``is_total`` tells the latter from systems whose name is missing.
+    """
     return (
-        scores.rollup(outer, inner).agg(F.count(F.lit(1)).alias("n_rows"))
-        .filter(F.col(outer).isNotNull())
+        scores.rollup(outer, inner).agg(F.count(F.lit(1)).alias("n_rows"), F.grouping_id().alias("_level"))
+        .filter("_level < 3").select(outer, inner, "n_rows", (F.col("_level") == 1).alias("is_total"))
     )

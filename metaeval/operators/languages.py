@@ -7,15 +7,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from metaeval.operators.lookup import attach
 
 
+_NAMES: list = []
+
+
 def iso_languages(spark: SparkSession) -> DataFrame:
-    """``lang`` and English ``lang_name`` of the two-letter ISO codes.
+    """``lang`` and English ``lang_name`` of ISO codes and of tags with region or script.
 
-    The Java runtime knows them; they are a few hundred rows.
+    The Java runtime knows them: codes of two and three letters, and the tags of
+    its locales. They are some two thousand rows, asked for once.
     """
-    locale = spark._jvm.java.util.Locale
-    names = [(code, locale(code).getDisplayLanguage(locale.ENGLISH))
-             for code in locale.getISOLanguages()]
-    return spark.createDataFrame(names, "lang string, lang_name string")
+    if not _NAMES:
+        locale = spark._jvm.java.util.Locale
+        found = {tag.toLanguageTag(): tag.getDisplayName(locale.ENGLISH) for tag in locale.getAvailableLocales()}
+        for code in locale.getISOLanguages():
+            one = locale(code)
+            found[code] = one.getDisplayLanguage(locale.ENGLISH)
+            found.setdefault(one.getISO3Language(), found[code])
+        found.pop("und", None)
+        _NAMES.extend(sorted(found.items()))
+    return spark.createDataFrame(_NAMES, "lang string, lang_name string")
 
 
 def with_language_name(rows: DataFrame, languages: DataFrame | None = None, lang: str = "lang",

@@ -24,9 +24,19 @@ def group_key(by) -> Column:
 def with_positions(df: DataFrame, by=(), order=(), name: str = "pos") -> DataFrame:
     """Number the rows of every ``by`` group from 0 in the order of ``order``.
 
-    ``order`` (Columns or names) must not tie inside a group. The rows come back
-    sorted by group and position, so a writer keeps them in order.
+    ``order`` (names or Columns) must not tie inside a group. Given names, only the
+    columns that decide the order are written out; all others are joined back by
+    them. Given Columns, whole rows are written: keep them narrow.
     """
+    names = [*by, *order] if all(isinstance(o, str) for o in order) else df.columns
+    if any(c not in names for c in df.columns):
+        keys = {c: f"_k{i}" for i, c in enumerate(dict.fromkeys(names))}
+        placed = with_positions(df.select(*keys), by, order, name).withColumnsRenamed(keys)
+        same = F.lit(True)
+        for mine, other in keys.items():
+            same = same & F.col(f"l.`{mine}`").eqNullSafe(F.col(f"r.{other}"))
+        return df.alias("l").join(placed.alias("r"), same).select(
+            *[F.col(f"l.`{c}`") for c in df.columns if c != name], F.col(f"r.{name}"))
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = cut(
         df.repartitionByRange(*keys)

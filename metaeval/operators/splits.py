@@ -30,7 +30,7 @@ def select_split(df: DataFrame, expression: str, split: str = "split", pos: str
 
     A part named twice gives its rows twice. Positions are shifted by the size of
     the parts before, so nothing is sorted. ``pos`` counts from 0 inside each
-    split of ``df``.
+    split of ``df``. A name that no row has raises when the rows are asked for.
     """
     spark = df.sparkSession
     parts = parse_split(expression)
@@ -42,7 +42,8 @@ def select_split(df: DataFrame, expression: str, split: str = "split", pos: str
     names = sorted({name for name, _, _ in parts})
     rows = df.filter(F.col(split).isin(names))
     sizes = rows.groupBy(F.col(split).alias("_name")).agg(F.count(F.lit(1)).alias("_size"))
-    size = F.coalesce("_size", F.lit(0))
+    unknown = F.raise_error(F.concat(F.lit("unknown split: "), F.col("_name"))).cast("bigint")
+    size = F.coalesce("_size", unknown)
 
     def bound(column: str, missing: Column) -> Column:
         given = F.col(column)

@@ -38,10 +38,12 @@ def build_vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return placed.select("token", "n", (F.col("_pos") + FIRST_ID).alias("id"))
 
 
-def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame,
+def encode(rows: DataFrame, key, segments: dict, vocabulary: DataFrame,
            max_rows: int | None = None) -> DataFrame:
     """Id arrays of the text ``segments`` of every row, one row per ``key``.
 
+    ``key`` is a column or a list of them; rows that share a key raise.
+
     ``segments`` maps output columns to text Columns. The first one begins with
     the beginning-of-sequence id; tokens the vocabulary lacks get the unknown id.
 
@@ -49,12 +51,13 @@ def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame,
     the rows by weight, since a few tokens make up most of any text.
     """
     texts = F.array(*[F.coalesce(text, F.lit("")) for text in segments.values()])
-    narrow = rows.select(key, texts.alias("_texts"))
+    key = [key] if isinstance(key, str) else list(key)
+    narrow = rows.select(*key, texts.alias("_texts"))
 
     def pieces(source: DataFrame) -> DataFrame:
         # every segment has a piece, if only the empty text, so no row gets lost
-        return source.select(key, F.posexplode("_texts").alias("seg", "_text")).select(
-            key, "seg", F.posexplode(F.split("_text", WHITESPACE, -1)).alias("at", "token"))
+        return source.select(*key, F.posexplode("_texts").alias("seg", "_text")).select(
+            *key, "seg", F.posexplode(F.split("_text", WHITESPACE, -1)).alias("at", "token"))
 
     known = F.coalesce("id", F.lit(UNK_ID)).cast("int")
     ids = cut(
@@ -65,21 +68,25 @@ def encode(rows: DataFrame, key: str, segments: dict, vocabulary: DataFrame,
     )
     if within_limits(ids, max_rows):
         # the texts are smaller than their ids with places: shuffle them instead
-        found = pieces(narrow.repartition(key)).join(
+        found = pieces(narrow.repartition(*key)).join(
             F.broadcast(ids.select("token", "id")), "token")
     else:
         total = ids.agg(F.sum("_weight")).first()[0]
         found = join_by_weight(pieces(narrow), ids, ["token"], "_weight", total,
-                               key_bytes=F.octet_length("token"))
-    grouped = found.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("seg", "at", "id"))).alias("_all"))
+                               spread=[*key, "seg", "at"])
+    grouped = found.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("seg", "at", "id"))).alias("_all"),
+        F.count_if((F.col("seg") == 0) & (F.col("at") == 0)).alias("_rows"))
+    # every row has one first piece
+    failure = F.raise_error(F.concat(F.lit("rows share the key "), F.to_json(F.struct(*key)))).cast("array<int>")
 
     def segment(index: int) -> Column:
         own = F.filter("_all", lambda t: (t["seg"] == index) & (t["id"] != _NONE))
         ids = F.transform(own, lambda t: t["id"])
-        return ids if index else F.concat(F.array(F.lit(BOS_ID)), ids)
+        ids = ids if index else F.concat(F.array(F.lit(BOS_ID)), ids)
+        return F.when(F.col("_rows") == 1, ids).otherwise(failure)
 
-    return grouped.select(key, *[segment(i).alias(name) for i, name in enumerate(segments)])
+    return grouped.select(*key, *[segment(i).alias(name) for i, name in enumerate(segments)])
 
 
 def constant_ids(vocabulary: DataFrame, text: str) -> list[int]:

@@ -15,6 +15,7 @@ from metaeval.sources.inventory import (
     cascade_name, direct_name, list_files, missing_files, relative_to, score_file,
 )
 from metaeval.sources.scores import scan_score_arrays, scan_scores
+from metaeval.sources.text_files import literal_path
 
 DATA = ["dataset", "config", "split"]
 HUMAN = "iwslt"
@@ -154,13 +155,42 @@ def read_vectors(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     for (path,) in files.select("path").toLocalIterator():
         name = path.rsplit("/", 1)[-1]
         kind = "array" if name.endswith(".json") else "raw" if name.startswith("st.") else "score"
-        by_kind.setdefault(kind, []).append(f"{root}/{path}")
+        by_kind.setdefault(kind, []).append(literal_path(f"{root}/{path}"))
     vectors = None
     for kind, paths in sorted(by_kind.items()):
         scan = scan_score_arrays(spark, paths) if kind == "array" else scan_scores(
-            spark, paths, kind)
+            spark, paths, kind).withColumn("system_score", F.lit(None).cast("double"))
         vectors = stack(vectors, scan)
-    return vectors.select(relative_to(F.col("system"), root).alias("path"), "pos", "value")
+    return vectors.select(relative_to(F.col("system"), root).alias("path"), "pos", "value", "system_score")
+
+
+def check_vectors(grid: DataFrame, vectors: DataFrame, folders: dict) -> DataFrame:
+    """Rows and mean of every file of the grid; raises if a vector is missing or too short.
+
+    Every file must have given scores, and a list of metric scores must be as long as
+    the QE vectors it is set beside. A metric table may be longer or shorter.
+    """
+    found = vectors.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max("system_score"), F.avg("value")).alias("mean"))
+    # one row per file that the configuration names
+    sizes = {r["path"]: (r["n"], r["mean"]) for r in found.collect()}
+    pairs = grid.select(qe_path(folders).alias("qe"), metric_path(folders).alias("metric")).distinct().collect()
+    lost = sorted({p for r in pairs for p in (r["qe"], r["metric"]) if p not in sizes})
+    if lost:
+        raise ValueError(f"no scores came from these files, among others: {lost[:5]}")
+    uneven = [(r["qe"], sizes[r["qe"]][0], r["metric"], sizes[r["metric"]][0]) for r in pairs
+              if r["metric"].endswith(".json") and sizes[r["qe"]][0] != sizes[r["metric"]][0]]
+    if uneven:
+        raise ValueError(f"score lists of unequal length, among them: {uneven[:5]}")
+    return grid.sparkSession.createDataFrame([(p, m) for p, (_, m) in sizes.items()], "path string, mean double")
+
+
+def check_metrics(grids) -> None:
+    """Raise for a metric model whose files and orientation are not known."""
+    unknown = [m for g in grids for m in g.metrics
+               if not (m in QE_AS_METRIC or m in LOWER_METRICS or ARRAY_METRIC in m or HUMAN in m)]
+    if unknown:
+        raise ValueError(f"metric models not supported: {sorted(set(unknown))}")
 
 
 def cascade_pairs(grid: DataFrame, qe: DataFrame, metric: DataFrame) -> DataFrame:
@@ -211,12 +241,19 @@ def correlate_grid(grid: DataFrame, pairs: DataFrame, **options) -> DataFrame:
 
 def run_cascade(spark: SparkSession, root: str, grids=PUBLISHED, folders=None, **options
                 ) -> DataFrame:
-    """Correlations of a whole grid of score files below ``root``."""
+    """Correlations of a whole grid of score files below ``root``.
+
+    The rows of single systems also have the mean scores of their two files: the
+    stored one where the file states it.
+    """
     folders = {**FOLDERS, **(folders or {})}
+    check_metrics(grids)
     # literal rows, as many as the configuration names
     grid = grid_table(spark, grids)
     files = check_files(spark, root, grid, folders)
     vectors = read_vectors(spark, root, files)
+    means = check_vectors(grid, vectors, folders)
+    vectors = vectors.drop("system_score")
     qe_keys = [*DATA, "qe_model", "asr", "st"]
     metric_keys = [*DATA, "metric_model", "st"]
     qe_names = grid.select(*qe_keys, qe_path(folders).alias("path")).distinct()
@@ -224,4 +261,10 @@ def run_cascade(spark: SparkSession, root: str, grids=PUBLISHED, folders=None, *
     qe = vectors.join(F.broadcast(qe_names), "path").drop("path").withColumnRenamed("value", "qe")
     metric = vectors.join(F.broadcast(metric_names), "path").drop("path").withColumnRenamed(
         "value", "metric")
-    return correlate_grid(grid, cascade_pairs(grid, qe, metric), **options)
+    found = correlate_grid(grid, cascade_pairs(grid, qe, metric), **options)
+    # literal rows, as many as the configuration names
+    names = grid.select(*metric_keys, "qe_model", "asr", qe_path(folders).alias("_qe"), metric_path(folders).alias("_metric"))
+    for side in ("qe", "metric"):
+        known = means.select(F.col("path").alias(f"_{side}"), F.col("mean").alias(f"{side}_mean"))
+        names = names.join(F.broadcast(known), f"_{side}").drop(f"_{side}")
+    return found.join(F.broadcast(names), [*metric_keys, "qe_model", "asr"], "left")

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from metaeval.operators.batches import BATCH, encoded_fillers, pad_batches, with_batches
 from metaeval.operators.correlation import correlation_report
+from metaeval.operators.ordering import with_positions
 from metaeval.operators.predictions import parse_predictions
 from metaeval.operators.scoring import score
 from metaeval.operators.splits import require_rows
 from metaeval.operators.tokens import PAD_ID
-from metaeval.sinks.writers import prediction_name, record_name, write_predictions, write_record
+from metaeval.sinks.writers import (
+    one_line_undone, prediction_name, record_name, write_predictions, write_record,
+)
 from metaeval.sources.text_files import located, number_rows
 
 # The labels of a report, and those where lower is better.
@@ -23,15 +26,16 @@ LOWER_IS_BETTER = ("metric_score_metricx-23-xl",)
 
 
 def read_predictions(spark, path: str) -> DataFrame:
-    """Predictions written by the sink, one per line: ``pos`` and ``pred_strings``.
+    """Predictions written by the sink: ``pos`` and ``pred_strings``.
 
-    Read as lines, because a table reader would skip blank predictions.
+    Read as lines, because a table reader would skip blank predictions. What the
+    sink escaped is undone; a NULL prediction comes back as the empty text.
     """
     lines = located(spark.read.option("lineSep", "\n").text(path))
     line = F.col("value")
     inner = F.replace(F.substring(line, F.lit(2), F.length(line) - 2), F.lit('""'), F.lit('"'))
     quoted = line.startswith('"') & line.endswith('"') & (F.length(line) > 1)
-    text = F.when(quoted, inner).otherwise(line).alias("pred_strings")
+    text = one_line_undone(F.when(quoted, inner).otherwise(line)).alias("pred_strings")
     return number_rows(lines.select(text, "_part", "_file", "_block"), header=True)
 
 
@@ -58,7 +62,10 @@ def evaluate(rows: DataFrame, load_scorer, output: str, batch_size: int = 1,
     spark = rows.sparkSession
     rows = require_rows(rows, "the test set has no rows")
     fillers = encoded_fillers(pad_id)
-    scored = score(pad_batches(with_batches(rows, batch_size), fillers), load_scorer, batch_size)
+    # a filter may have left gaps in the positions; batches are cut from the rows there are
+    dense = with_positions(rows, (), ["pos"], "_dense")
+    batched = with_batches(dense, batch_size, "_dense").drop("_dense")
+    scored = score(pad_batches(batched, fillers), load_scorer, batch_size)
     name = prediction_name(prefix, manifest_files, split, config)
     path = f"{output}/{name}"
     scored.drop(*fillers, BATCH).write.mode("overwrite").parquet(f"{path}.rows")

@@ -59,8 +59,13 @@ def prepare_rows(rows: DataFrame, options: PrepareOptions = PrepareOptions(),
 
 
 def encode_rows(rows: DataFrame, vocabulary: DataFrame, options: PrepareOptions = PrepareOptions(),
-                key: str = "pos") -> DataFrame:
-    """Add the six encoded columns to prepared rows."""
+                key=None) -> DataFrame:
+    """Add the six encoded columns to prepared rows.
+
+    ``key`` names the columns that tell rows apart: by default the position, with
+    the split where rows have one.
+    """
+    key = key or (["split", "pos"] if "split" in rows.columns else ["pos"])
     segments = {"_prefix_ids": F.col("prompt_prefix")}
     if "suffix" in rows.columns:
         segments["_suffix_ids"] = F.col("suffix")
@@ -101,7 +106,10 @@ def load_manifests(spark: SparkSession, root: str, manifest_files: str,
                    vocabulary: DataFrame | None = None, reuse: bool = True) -> DataFrame:
     """Encoded rows of local manifests, kept below ``root`` and reused on request."""
     wanted = char_class(options.chars_to_ignore)
-    others = "-".join(f"{k}={v}" for k, v in sorted(asdict(options).items()))
+    others = "-".join([f"{k}={v}" for k, v in sorted(asdict(options).items())] + [manifest_files])
+    if vocabulary is not None:
+        entries, digest = vocabulary.agg(F.count(F.lit(1)), F.sum(F.xxhash64("token", "id").cast("decimal(38,0)"))).first()
+        others += f"-vocabulary={entries}:{digest}"
     key = spark.range(1).select(cache_key(
         F.lit(manifest_files), tokenizer, options.lower, F.lit(wanted),
         F.substring(F.sha2(F.lit(others), 256), 1, 12))).first()[0]

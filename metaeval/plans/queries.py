@@ -11,7 +11,6 @@ from metaeval.functions.arrays import (
     peak_normalized, prompt_labels, speech_length, subsampled_length,
 )
 from metaeval.functions.audio import file_ending, has_audio_ending, segment_ref
-from metaeval.functions.predictions import FLOAT_PATTERN
 from metaeval.functions.text import (
     assistant_tail, cache_key, hash_bucket, normalize, prefix_path, target_text,
 )
@@ -33,14 +32,14 @@ from metaeval.operators.tokens import (
 from metaeval.plans import views as v
 from metaeval.plans.cascade import (
     cascade_pairs, correlate_grid, grid_table, Grid, metric_is_lower_better, qe_is_lower_better,
-    qe_path,
+    metric_path, qe_path, run_cascade,
 )
 from metaeval.plans.evaluate import read_predictions, report
 from metaeval.plans.prepare import PrepareOptions, prepare_rows
-from metaeval.session import shared_dir
+from metaeval.session import delete_at_exit, shared_dir
 from metaeval.sinks.writers import cached_table, write_predictions, write_record
-from metaeval.sources.inventory import flag_readable, missing_files, readable_contents
-from metaeval.sources.scores import explode_scores, scan_scores
+from metaeval.sources.inventory import missing_files, probe_readable, write_files
+from metaeval.sources.scores import scan_score_arrays, scan_scores
 from metaeval.sources.text_files import scan_manifests
 
 QUERIES: dict = {}
@@ -61,8 +60,10 @@ def query(sql: str):
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    """A new place in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
 
 
 def spearman_sql(source: str, x: str, y: str, by=(), name: str = "spearman") -> str:
@@ -91,28 +92,24 @@ def rounded(column: str = "spearman"):
 
 # ---------------------------------------------------------------- sources and sinks
 
-MANIFEST_FLAT = v.MANIFEST + """,
-flat AS (SELECT doc_id, path, replace(sentence, chr(10), ' ') AS sentence,
-  replace(suffix, chr(10), ' ') AS suffix, lang FROM manifest)"""
-
-
-@query(f"""WITH {MANIFEST_FLAT}
-  SELECT doc_id, path, sentence, suffix, lang,
-    row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS pos FROM flat""")
+@query(f"""WITH {v.MANIFEST}
+  SELECT doc_id, path, sentence, suffix, lang, CASE WHEN doc_id % 2 = 1 THEN n_chars END AS extra,
+    row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS pos FROM manifest""")
 def manifest_scan(spark, sf):
     root = new_folder(spark)
-    flat = v.manifest(spark, sf).select(
-        "doc_id", "path", F.replace("sentence", F.lit("\n"), F.lit(" ")).alias("sentence"),
-        F.replace("suffix", F.lit("\n"), F.lit(" ")).alias("suffix"), "lang",
+    rows = v.manifest(spark, sf).select(
+        "doc_id", "path", "sentence", "suffix", "lang", F.col("n_chars").alias("extra"),
     ).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    flat = rows.drop("extra")
     flat.filter("doc_id % 2 = 0").write.options(
         sep="\t", header="true", escape='"', ignoreLeadingWhiteSpace="false",
         ignoreTrailingWhiteSpace="false").csv(f"{root}/even.tsv")
-    flat.filter("doc_id % 2 = 1").write.json(f"{root}/odd.json")
+    rows.filter("doc_id % 2 = 1").write.json(f"{root}/odd.json")
     schema = flat.schema
+    # the column extra is in the JSON files only, and in no schema
     table = scan_manifests(spark, root, "even.tsv,odd.json", schema)
     return table.select(F.col("doc_id").cast("bigint").alias("doc_id"), "path", "sentence",
-                        "suffix", "lang", "pos")
+                        "suffix", "lang", "extra", "pos")
 
 
 @query(f"""WITH {v.SCORES}
@@ -127,15 +124,15 @@ def score_scan_positional(spark, sf):
 
 
 @query("""SELECT vec_id AS st, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS value,
-    round(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) / len(embedding), 6)
-      AS system_score
+    CASE WHEN vec_id % 3 <> 0 THEN CAST(vec_id AS DOUBLE) / 8 END AS system_score
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 def score_array_explode(spark, sf):
-    systems = v.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("st"), F.col("embedding").alias("scores"),
-        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e) / F.size("embedding"), 6)
-        .alias("system_score"))
-    return explode_scores(systems, ["st", "system_score"])
+    root, st = new_folder(spark), F.col("vec_id")
+    v.table(spark, sf, "embeddings").select(
+        st.alias("st"), F.when(st % 3 != 0, st.cast("double") / 8).alias("system_score"),
+        F.col("embedding").cast("array<double>").alias("scores")).write.partitionBy("st").json(root)
+    found = scan_score_arrays(spark, f"{root}/*/*.json")
+    return found.select(F.regexp_extract("system", "/st=([0-9]+)/", 1).cast("bigint").alias("st"), "pos", "value", "system_score")
 
 
 FILES = f"""expected AS (
@@ -198,25 +195,63 @@ def preprocess_cache_roundtrip(spark, sf):
     return cached_table(spark, root, key, refuse)
 
 
-HEADERS = ("RIFF0000WAVE", "fLaC", "OggS", "ID3", "RIFX0000WAVE")
+HEADERS = ("RIFF0000WAVE", "fLaC", "OggS", "ID3", "RIFX0000WAVE", "RF640000WAVE", "RIFX0000AVI ")
+# Parts of file names that an address would have to encode.
+ODD_NAMES = ("", " a", "%20", "#1", "+", "%")
 
 
-@query(f"""WITH {v.MANIFEST},
-  files AS (SELECT 'clips/' || CAST(doc_id AS VARCHAR) || {v.pick_sql(v.ENDINGS, 'doc_id')} AS path,
-    {v.pick_sql(HEADERS, 'doc_id')} || text AS content
-    FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
-  SELECT doc_id, path, coalesce((SELECT bool_or(
-      (content[1:4] = 'RIFF' AND content[9:12] = 'WAVE') OR content[1:4] IN ('fLaC', 'OggS')
-      OR content[1:3] = 'ID3') FROM files f WHERE f.path = m.path), FALSE) AS is_readable
-  FROM manifest m""")
+@query(f"""SELECT doc_id, name, doc_id IN (SELECT doc_id FROM labels) AND doc_id % 7 <> 6 AS is_readable
+  FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || {v.pick_sql(ODD_NAMES, 'doc_id')} || {v.pick_sql(v.ENDINGS, 'doc_id')} AS name FROM documents)""")
 def readable_flag(spark, sf):
-    i = F.col("doc_id")
+    root, i = f"{new_folder(spark)}/clips", F.col("doc_id")
+    name = F.concat(i.cast("string"), v.pick(ODD_NAMES, i), v.pick(v.ENDINGS, i))
+    named = v.table(spark, sf, "documents").select(
+        "doc_id", name.alias("name"), F.concat(F.lit(f"{root}/"), name).alias("path"), "text")
     labelled = v.table(spark, sf, "labels").select("doc_id").distinct()
-    files = v.table(spark, sf, "documents").join(labelled, "doc_id", "left_semi").select(
-        F.concat(F.lit("clips/"), i.cast("string"), v.pick(v.ENDINGS, i)).alias("path"),
-        F.concat(v.pick(HEADERS, i), "text").cast("binary").alias("content"))
-    manifest = v.manifest(spark, sf).select("doc_id", "path")
-    return flag_readable(manifest, readable_contents(files))
+    write_files(named.join(labelled, "doc_id", "left_semi").select(
+        "path", F.concat(v.pick(HEADERS, i), "text").cast("binary").alias("content")))
+    return probe_readable(named.select("doc_id", "name", "path")).select("doc_id", "name", "is_readable")
+
+
+FILE_QE, FILE_METRICS = ("Unbabel/XCOMET-XL", "google/metricx-23-xl-v2p0"), ("Unbabel/XCOMET-XL", "google/metricx-23-xl-v2p0")
+_FILE_PAIRS = v.EVENTS + f""",
+file_pairs AS (SELECT event_type || ' 50%+' AS st, qe_model, metric_model, qe, metric FROM ev,
+  LATERAL (SELECT * FROM (VALUES ('{FILE_QE[0]}', value, value), ('{FILE_QE[1]}', -k, k)) AS q(qe_model, qe, raw_qe)),
+  LATERAL (SELECT * FROM (VALUES ('{FILE_METRICS[0]}', CAST(user_id % 97 AS DOUBLE)), ('{FILE_METRICS[1]}', -k)) AS m(metric_model, metric)))"""
+
+
+@query(f"""WITH {_FILE_PAIRS},
+  by_system AS ({spearman_sql('file_pairs', 'qe', 'metric', ['metric_model', 'qe_model', 'st'])}),
+  by_pool AS ({spearman_sql('file_pairs', 'qe', 'metric', ['metric_model', 'qe_model'])}),
+  means AS (SELECT metric_model, qe_model, st, round(avg(CASE WHEN qe_model LIKE 'google%' THEN -qe ELSE qe END), 4) AS qe_mean
+    FROM file_pairs GROUP BY ALL)
+  SELECT 'system' AS level, metric_model, qe_model, st, n_pairs, spearman, qe_mean FROM by_system JOIN means USING (metric_model, qe_model, st)
+  UNION ALL SELECT 'pooled', metric_model, qe_model, NULL, n_pairs, spearman, NULL FROM by_pool""")
+def cascade_files(spark, sf):
+    """A grid of score files, lists and tables, whose names hold a blank, a percent sign and a plus."""
+    root = new_folder(spark)
+    rows = v.events(spark, sf).withColumn("st", F.concat("event_type", F.lit(" 50%+")))
+    systems = sorted(r["st"] for r in rows.select("st").distinct().collect())
+    grids = [Grid("covost2", "es_en", "t", FILE_METRICS, FILE_QE, ("gold",), tuple(systems))]
+    grid = grid_table(spark, grids)
+    folders = {"qe": "qe", "metric": "metric", "human": "human"}
+    first = {("q", FILE_QE[0]): F.col("value"), ("q", FILE_QE[1]): F.col("k"),
+             ("m", FILE_METRICS[0]): (F.col("user_id") % 97).cast("double"), ("m", FILE_METRICS[1]): F.col("k")}
+    names = stack(grid.select(F.lit("q").alias("side"), "st", F.col("qe_model").alias("model"), qe_path(folders).alias("path")),
+                  grid.select(F.lit("m").alias("side"), "st", F.col("metric_model").alias("model"), metric_path(folders).alias("path"))).distinct()
+    vectors = rows.groupBy("st").agg(F.array_sort(F.collect_list(F.struct("event_id", *[
+        c.alias(f"c{i}") for i, c in enumerate(first.values())]))).alias("all"))
+    score = None
+    for i, (side, model) in enumerate(first):
+        one = F.when((F.col("side") == side) & (F.col("model") == model), F.col("all").getField(f"c{i}"))
+        score = one if score is None else F.coalesce(score, one)
+    files = names.join(F.broadcast(vectors), "st").select("path", score.alias("scores"))
+    mean = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores"), 4).alias("system_score")
+    content = F.when(F.col("path").endswith(".json"), F.to_json(F.struct(mean, "scores"))).otherwise(
+        F.concat(F.lit("score\n"), F.array_join(F.transform("scores", lambda x: x.cast("string")), "\n"), F.lit("\n")))
+    write_files(files.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), content.cast("binary").alias("content")))
+    return run_cascade(spark, root, grids, folders).select(
+        "level", "metric_model", "qe_model", "st", "n_pairs", rounded(), F.round("qe_mean", 4).alias("qe_mean"))
 
 
 # ---------------------------------------------------------------- projections, filters
@@ -393,11 +428,15 @@ LANGUAGES = (("de", "German"), ("en", "English"), ("es", "Spanish"))
 
 
 @query("""SELECT doc_id, lang, CASE lang WHEN 'de' THEN 'German' WHEN 'en' THEN 'English'
-    WHEN 'es' THEN 'Spanish' ELSE lang END AS lang_name FROM documents""")
+    WHEN 'es' THEN 'Spanish' ELSE lang END AS lang_name,
+    CASE doc_id % 4 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'deu' WHEN 2 THEN 'fr' ELSE 'xx-none' END AS tag,
+    CASE doc_id % 4 WHEN 0 THEN 'Chinese (China)' WHEN 1 THEN 'German' WHEN 2 THEN 'French' ELSE 'xx-none' END AS tag_name
+  FROM documents""")
 def lang_name_join(spark, sf):
-    rows = v.table(spark, sf, "documents").select("doc_id", "lang")
+    rows = v.table(spark, sf, "documents").select("doc_id", "lang", v.pick(("zh-CN", "deu", "fr", "xx-none"), F.col("doc_id")).alias("tag"))
     languages = spark.createDataFrame(LANGUAGES, "lang string, lang_name string")
-    return with_language_name(rows, languages, spread=["doc_id"])
+    named = with_language_name(rows, languages, spread=["doc_id"])
+    return with_language_name(named, None, "tag", name="tag_name")
 
 
 # ---------------------------------------------------------------- correlations
@@ -446,11 +485,14 @@ def system_mean(spark, sf):
         "asr", "st", rounded("system_score"))
 
 
-@query(f"""WITH {v.SCORES}
-  SELECT asr, st, count(*) AS n_rows FROM scores GROUP BY asr, st
-  UNION ALL SELECT asr, NULL, count(*) FROM scores GROUP BY asr""")
+@query(f"""WITH {v.SCORES}, named AS (
+    SELECT CASE WHEN pos % 5 <> 0 THEN asr END AS asr, CASE WHEN pos % 7 <> 0 THEN st END AS st FROM scores)
+  SELECT asr, st, count(*) AS n_rows, FALSE AS is_total FROM named GROUP BY asr, st
+  UNION ALL SELECT asr, NULL, count(*), TRUE FROM named GROUP BY asr""")
 def system_counts_report(spark, sf):
-    return system_counts(v.scores(spark, sf), "asr", "st")
+    table, i = v.scores(spark, sf), F.col("pos")
+    named = table.select(F.when(i % 5 != 0, F.col("asr")).alias("asr"), F.when(i % 7 != 0, F.col("st")).alias("st"))
+    return system_counts(named, "asr", "st")
 
 
 QUERIES["system_counts"] = QUERIES.pop("system_counts_report")
@@ -459,11 +501,15 @@ ORACLE["system_counts"] = ORACLE.pop("system_counts_report")
 
 # ---------------------------------------------------------------- predictions
 
-_FLOAT = FLOAT_PATTERN.replace("'", "''")
+# Written for the check alone: digits may be joined by single underscores.
+_UNDERSCORED = "[0-9]+(_[0-9]+)*"
+_EDGE = "[ \\t\\n\\r\\x0B\\f\\x1C-\\x1F]*"
+_FLOAT = (f"{_EDGE}[-+]?({_UNDERSCORED}[.]?|{_UNDERSCORED}[.]{_UNDERSCORED}|[.]{_UNDERSCORED})"
+          f"([eE][-+]?{_UNDERSCORED})?{_EDGE}|{_EDGE}[-+]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]){_EDGE}")
 PARSED = v.PREDICTIONS + f""",
 checked AS (
-  SELECT *, regexp_matches(pred, '{_FLOAT}') AS ok,
-    regexp_replace(pred, '^([^%]*)%', '\\1') AS bare, trim(pred) AS stripped
+  SELECT *, regexp_full_match(pred, '{_FLOAT}') AS ok,
+    regexp_replace(pred, '^([^%]*)%', '\\1') AS bare, trim(pred, chr(32) || chr(9) || chr(10) || chr(13)) AS stripped
   FROM predictions),
 gated AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY run) > 0 AS repair FROM checked),
 parsed AS (
@@ -483,16 +529,20 @@ def pred_parse(spark, sf):
 
 
 @query(f"""WITH {PARSED}
-  SELECT run, pos, pred, TRY_CAST(replace(stripped, '_', '') AS DOUBLE) AS pred_value
-  FROM parsed WHERE ok AND pred_value IS NOT NULL
-    AND NOT isnan(TRY_CAST(replace(stripped, '_', '') AS DOUBLE))
-    AND NOT isinf(TRY_CAST(replace(stripped, '_', '') AS DOUBLE))""")
+  SELECT run, pos, pred, kind, CASE WHEN kind = 'finite' THEN plain END AS pred_value
+  FROM (SELECT run, pos, pred, plain, CASE WHEN isnan(plain) THEN 'nan' WHEN isinf(plain) THEN 'infinite' ELSE 'finite' END AS kind
+    FROM (SELECT *, TRY_CAST(replace(stripped, '_', '') AS DOUBLE) AS plain FROM parsed WHERE ok))""")
 def pred_parse_clean_run(spark, sf):
-    """Runs left with well-formed finite numbers only: all keep their plain values."""
+    """Runs left with well-formed numbers only: all keep their plain values.
+
+    Infinities and NaN are told by ``kind``, since engines write them differently.
+    """
     table = v.predictions(spark, sf).select("run", "pos", "pred")
     clean = table.join(malformed_rows(table).select("run", "pos"), ["run", "pos"], "left_anti")
-    finite = ~F.lower(F.trim("pred")).isin("nan", "inf", "infinity")
-    return parse_predictions(clean.filter(finite)).select("run", "pos", "pred", "pred_value")
+    value = F.col("pred_value")
+    kind = F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), "infinite").otherwise("finite")
+    return parse_predictions(clean).withColumn("kind", kind).select(
+        "run", "pos", "pred", "kind", F.when(F.col("kind") == "finite", value).alias("pred_value"))
 
 
 @query(f"""WITH {PARSED} SELECT run, pos, pred, n_rows, n_malformed
@@ -514,8 +564,8 @@ def _report_sql() -> str:
       FROM corr_xcomet JOIN corr_metricx USING (run)"""
 
 
-def _rounded_report(summary: DataFrame) -> DataFrame:
-    return summary.select("run", *[rounded(c) for c in ("corr_xcomet", "corr_metricx",
+def _rounded_report(summary: DataFrame, *more) -> DataFrame:
+    return summary.select("run", *more, *[rounded(c) for c in ("corr_xcomet", "corr_metricx",
                                                         "corr_humanda")])
 
 
@@ -524,14 +574,19 @@ def corr_report(spark, sf):
     return _rounded_report(report(v.predictions(spark, sf), "pred", ["run"])[1])
 
 
-@query(_report_sql())
+@query(f"""SELECT r.*, CAST(1 AS BIGINT) AS batch_size, n_rows, sum_float FROM ({_report_sql()}) r JOIN (
+    WITH {PARSED} SELECT run, count(*) AS n_rows,
+      round(sum(CASE WHEN abs(pred_value) < 1e15 THEN pred_value END), 3) AS sum_float FROM parsed GROUP BY run) s USING (run)""")
 def result_record(spark, sf):
     parsed, summary = report(v.predictions(spark, sf), "pred", ["run"])
     path = f"{new_folder(spark)}/qe.test.json"
     write_record(summary, parsed, path, {"gen_args": {"batch_size": 1, "output_file_name": None}})
-    return _rounded_report(spark.read.schema(
+    found = spark.read.schema(
         "run string, corr_xcomet double, corr_metricx double, corr_humanda double, "
-        "gen_args map<string, string>").json(f"{path}/summary"))
+        "gen_args struct<batch_size: bigint, output_file_name: string>").json(f"{path}/summary")
+    rows = spark.read.parquet(f"{path}/rows").groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(F.when(F.abs("pred_strings_float") < 1e15, F.col("pred_strings_float"))), 3).alias("sum_float"))
+    return _rounded_report(found, F.col("gen_args.batch_size").alias("batch_size")).join(rows, "run")
 
 
 # ---------------------------------------------------------------- text

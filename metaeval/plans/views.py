@@ -13,7 +13,7 @@ ENDINGS = (".wav", ".flac", ".ogg", ".mp3", ".WAV")
 INSTRUCTIONS = ("Rate the translation", "How good is this translation?", "Score")
 # Malformed and unusual predictions, and unusual ones that are numbers.
 ODD = ("100%", "100% ", "99.5%", "1%%", "%1", "1", "1 ", "-0.5", "+0.5", "1e-3", "nan", "inf",
-       "Infinity", "1_000", "1.0d", "1f", "0x10", ".5", "5.", ".", "", "  ", "12345678901234567890")
+       "Infinity", "1_000", "0.2\nbecause", "0.4\r", "a \"b\"\tc", "\n", "1.0d", "1f", "0x10", ".5", "5.", ".", "", "  ", "12345678901234567890")
 ODD_NUMBERS = ("-0.5", "+0.5", "1e-3", "1_000", ".5", "5.", "1", " 1 ")
 CLEAN_RUN = "view"
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metaeval.session import path_exists
 
 _PLAIN = {
-    "sep": "\t", "header": "true", "escape": '"',
+    "sep": "\t", "header": "true", "escape": '"', "lineSep": "\n",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
@@ -25,14 +26,31 @@ def record_name(prediction_file: str, output_name: str | None = None) -> str:
     return f"{output_name or prediction_file.replace('.tsv', '')}.json"
 
 
+def one_line(text: Column) -> Column:
+    """The text without line breaks: every backslash is followed by another one, n or r."""
+    for old, new in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def one_line_undone(text: Column) -> Column:
+    """The text that ``one_line`` was given."""
+    # what lies between doubled backslashes has single ones only in escapes
+    parts = F.split(text, F.lit(r"\\\\"))
+    undone = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(undone, "\\")
+
+
 def write_predictions(preds: DataFrame, path: str, pos: str = "pos", text: str = "pred_strings",
                       partition_by=()) -> None:
     """One text column in position order, tab-separated with a header.
 
     The parts of the folder, in name order, hold the rows in order. Outer space
-    of a prediction is kept.
+    of a prediction is kept; a NULL is written as the empty text. Line breaks
+    and backslashes are escaped, so that every prediction is one line.
     """
-    ordered = preds.orderBy(*partition_by, pos).select(*partition_by, text)
+    line = one_line(F.coalesce(text, F.lit(""))).alias(text)
+    ordered = preds.orderBy(*partition_by, pos).select(*partition_by, line)
     writer = ordered.write.mode("overwrite").options(**_PLAIN)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -44,15 +62,11 @@ def write_record(summary: DataFrame, rows: DataFrame, path: str, arguments: dict
     """The result of a run: correlations and arguments as JSON, rows as a table.
 
     ``summary`` has one row per run; entries without a value are written as null.
+    Arguments keep their types, nested ones too.
     """
     if arguments:
-        maps = {
-            name: F.create_map(*[F.lit(None if v is None else str(v)).cast("string")
-                                 if i else F.lit(str(k))
-                                 for k, v in values.items() for i in (0, 1)])
-            for name, values in arguments.items() if values
-        }
-        summary = summary.withColumns(maps)
+        texts = {name: F.lit(json.dumps(values, default=str)) for name, values in arguments.items() if values}
+        summary = summary.withColumns({name: F.from_json(text, F.schema_of_json(text)) for name, text in texts.items()})
     summary.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/summary")
     rows.write.mode("overwrite").parquet(f"{path}/rows")
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from metaeval.functions.audio import has_audio_header
 from metaeval.functions.text import file_safe
+from metaeval.operators.lookup import attach
 
 
 def cascade_name(asr: Column, st: Column, dataset: Column, config: Column, split: Column
@@ -39,7 +42,7 @@ def missing_files(expected: DataFrame, existing: DataFrame, path: str = "path")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Paths and sizes below ``root``; the contents are not read."""
+    """Paths and sizes below ``root``; the contents are not read. Paths are as written, not encoded."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root).select("path", "length")
@@ -60,36 +63,85 @@ def readable_contents(files: DataFrame, content: str = "content") -> DataFrame:
 def flag_readable(manifest: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
     """Add ``is_readable`` to the manifest; a file not in the inventory is not.
 
-    Both tables may be large, so they shuffle by path; a path that many manifest
-    rows share is split by adaptive execution, which the session settings turn on.
+    Both tables may be large; paths that many manifest rows share are set apart.
     """
     known = inventory.groupBy(path).agg(F.max("is_readable").alias("is_readable"))
-    return manifest.join(known, path, "left").withColumn(
+    return attach(manifest, known, on=[path], spread=manifest.columns).withColumn(
         "is_readable", F.coalesce("is_readable", F.lit(False)))
 
 
-def probe_readable(manifest: DataFrame, path: str = "path", header_bytes: int = 12) -> DataFrame:
+def probe_readable(manifest: DataFrame, path: str = "path", header_bytes: int = 12, attempts: int = 3) -> DataFrame:
     """Add ``is_readable`` by opening each file of the manifest where Spark runs.
 
-    Only the first bytes are read, so large audio costs one small read per file.
-    A path that cannot be opened is not readable. Tasks need access to the files.
+    Only distinct paths travel to Python, and only the first bytes of a file are
+    read. A path without a scheme is one of the cluster's default file system; a
+    relative one lies in its working folder. What is no file, or may not be opened,
+    is not readable; any other failure raises after a few attempts, so that a busy
+    store does not cost rows. Tasks need access to the files.
     """
-    schema = StructType([*manifest.schema.fields, StructField("_head", BinaryType())])
+    home = working_folder(manifest.sparkSession)
 
     def read_heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        def head(name):
-            try:
-                system, inner = fs.FileSystem.from_uri(name if "://" in name else f"file://{name}")
-                with system.open_input_stream(inner) as stream:
-                    return stream.read(header_bytes)
-            except Exception:  # noqa: BLE001 - unreadable for any reason
-                return None
-
         for frame in frames:
-            heads = {name: head(name) for name in frame[path].dropna().unique()}
-            yield frame.assign(_head=[heads.get(name) for name in frame[path]])
-
-    probed = manifest.mapInPandas(read_heads, schema)
-    return probed.withColumn("is_readable", has_audio_header(F.col("_head"))).drop("_head")
+            yield frame.assign(head=[first_bytes(name, home, header_bytes, attempts) for name in frame["name"]])
+
+    names = manifest.select(F.col(path).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    heads = names.mapInPandas(read_heads, StructType([StructField("name", StringType()), StructField("head", BinaryType())]))
+    flags = heads.select(F.col("name").alias(path), has_audio_header(F.col("head")).alias("is_readable"))
+    return flag_readable(manifest, flags, path)
+
+
+def located_file(name: str, home: str):
+    """The file system of an address, and the place in it; ``home`` resolves what lacks a scheme."""
+    from pyarrow import fs
+
+    scheme, rest = name.split("://", 1) if "://" in name else (None, name)
+    if scheme is None and name.startswith("file:/"):
+        scheme, rest = "file", name.removeprefix("file:")
+    if scheme is None:
+        scheme, _, place = home.partition(":")
+        host, _, folder = place.removeprefix("//").partition("/") if place.startswith("//") else ("", "", place.lstrip("/"))
+        rest = host + (name if name.startswith("/") else f"/{folder.rstrip('/')}/{name}")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+
+
+def first_bytes(name: str, home: str, count: int, attempts: int) -> bytes | None:
+    """The first bytes of a file, or None if there is no such file to be read."""
+    from pyarrow import fs
+
+    for attempt in range(attempts):
+        try:
+            system, inner = located_file(name, home)
+            if system.get_file_info(inner).type != fs.FileType.File:
+                return None
+            with system.open_input_stream(inner) as stream:
+                return stream.read(count)
+        except (FileNotFoundError, PermissionError):
+            return None
+        except OSError:
+            if attempt + 1 == attempts:
+                raise
+            time.sleep(0.5 * 2 ** attempt)
+    return None
+
+
+def working_folder(spark: SparkSession) -> str:
+    """The address that relative paths begin with."""
+    configuration = spark._jsc.hadoopConfiguration()
+    return spark._jvm.org.apache.hadoop.fs.FileSystem.get(configuration).getWorkingDirectory().toString()
+
+
+def write_files(files: DataFrame) -> None:
+    """Write the bytes ``content`` of every row to the file ``path``, in the tasks."""
+    home = working_folder(files.sparkSession)
+
+    def write(rows) -> None:
+        for path, content in rows:
+            system, inner = located_file(path, home)
+            system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(inner) as stream:
+                stream.write(bytes(content))
+
+    files.select("path", "content").foreachPartition(write)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from metaeval.functions.text import decoded_path
 from metaeval.schemas import SCORE_ARRAY
-from metaeval.sources.text_files import located, number_rows, read_tsv
+from metaeval.sources.text_files import located, number_or_error, number_rows, read_tsv
 
 
 def file_name(path: Column) -> Column:
@@ -23,10 +24,11 @@ def scan_scores(spark: SparkSession, paths, column: str = "score", per_folder: b
     """One score per row of TSV files: ``system``, ``pos``, ``value``.
 
     A file holds one system, named by its path; with ``per_folder`` the files of a
-    folder, in name order, together do. ``keep`` names partition columns.
+    folder, in name order, together do. ``keep`` names partition columns. A cell that
+    is neither missing nor a number raises; ``malformed_cells`` lists such rows.
     """
     rows = located(read_tsv(spark, paths))
-    value = F.col(f"`{column}`").try_cast("double").alias("value")
+    value = number_or_error(F.col(f"`{column}`")).alias("value")
     system = folder(F.col("_file")) if per_folder else F.col("_file")
     narrow = rows.select(*keep, value, "_part", "_file", "_block")
     return number_rows(narrow.withColumn("system", system), F.col("system")).select(
@@ -41,7 +43,11 @@ def explode_scores(systems: DataFrame, keys, scores: str = "scores") -> DataFram
 
 
 def scan_score_arrays(spark: SparkSession, paths) -> DataFrame:
-    """Score objects in JSON files, one per system: ``system``, ``pos``, ``value``."""
-    objects = spark.read.schema(SCORE_ARRAY).json(paths).withColumn(
-        "system", F.col("_metadata.file_path"))
-    return explode_scores(objects, ["system"])
+    """Score objects in JSON files: ``system``, its stored ``system_score``, ``pos``, ``value``.
+
+    An object holds all scores of its system and is read as one row; a long table
+    (``scan_scores``) suits systems that do not fit a task.
+    """
+    objects = spark.read.schema(SCORE_ARRAY).option("mode", "FAILFAST").json(paths).withColumn(
+        "system", decoded_path(F.col("_metadata.file_path")))
+    return explode_scores(objects, ["system", "system_score"])

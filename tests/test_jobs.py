@@ -76,7 +76,9 @@ def test_split_expressions(spark):
         return [r["split"] for r in got]
     assert at("c+a") == list("ccccaaaa")
     assert at("a[1:3]+b+a") == list("aa") + list("bbbb") + list("aaaa")
-    assert at("a[-1:]+b[:2]+missing+c[3:99]") == list("abbc")
+    assert at("a[-1:]+b[:2]+c[3:99]") == list("abbc")
+    with pytest.raises(Exception, match="unknown split: missing"):
+        at("a[-1:]+b[:2]+missing+c[3:99]")
     assert at("a[3:1]") == []
 
 

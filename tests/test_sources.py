@@ -99,7 +99,7 @@ def test_written_predictions(spark, tmp_path):
 
 
 def test_odd_predictions_come_back(spark, tmp_path, small_blocks):
-    texts = ["a ", "  ", "", 'say "hi"', "tab\there", '"', '""', "pred_strings", " x", "\\"] * 90
+    texts = ["a ", "  ", "", 'say "hi"', "tab\there", '"', '""', "pred_strings", " x", "\\", "0.2\nbecause", "\r", "a\r\n", "\\n", "\\\n\\\\n\\"] * 60
     df = spark.createDataFrame(list(enumerate(texts)), "pos bigint, pred_strings string")
     write_predictions(df, str(tmp_path / "p"))
     back = read_predictions(spark, str(tmp_path / "p")).orderBy("pos").collect()
@@ -120,7 +120,7 @@ def test_record_holds_nulls_and_arguments(spark, tmp_path):
                                                         "data_args": {}})
     text = "".join(p.read_text() for p in (tmp_path / "r" / "summary").glob("part-*"))
     assert json.loads(text) == {"corr_xcomet": 0.5, "corr_humanda": None,
-                                "gen_args": {"batch_size": "1", "task": None}}
+                                "gen_args": {"batch_size": 1, "task": None}}
 
 
 def test_cache_is_reused_only_when_asked(spark, tmp_path):

@@ -92,7 +92,7 @@ def test_ending(spark, path, ending, good):
 
 
 @pytest.mark.parametrize("content, good", [
-    (b"RIFF\x00\x01\x02\x03WAVEfmt ", True), (b"RIFX0000WAVE", False), (b"fLaC\x00", True),
+    (b"RIFF\x00\x01\x02\x03WAVEfmt ", True), (b"RIFX0000WAVE", True), (b"RF64\xff\xff\xff\xffWAVE", True), (b"RIFX0000AVI ", False), (b"fLaC\x00", True),
     (b"OggS", True), (b"ID3\x04", True), (b"\xff\xfb\x90", True), (b"", False), (None, False),
     (b"xxRIFF0000WAVE", False), (b"RIFF\n\n\n\nWAVE", True),
 ])
