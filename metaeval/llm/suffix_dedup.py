@@ -69,17 +69,29 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, match: int = MATCH, gram: i
     place = np.arange(len(hashes), dtype=np.uint64)
     keys = (hashes >> _PLACE_BITS << _PLACE_BITS) | ((np.uint64(1) << _PLACE_BITS) - np.uint64(1) - place)
     least = _least(keys, match - gram + 1)
-    anchor = ((np.uint64(1) << _PLACE_BITS) - np.uint64(1) - (least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1)))).astype(np.int64)
     sizes = np.maximum(np.diff(offsets) - match + 1, 0)
-    if not sizes.sum():
-        return none
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[:-1], sizes)
-    chosen = anchor[start]
-    new = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
-    windows = np.diff(np.append(new, len(row)))
-    first = start[new]
-    return row[new], first, windows, hashes[chosen[new]], flat.span_hashes(sums, first, first + windows + match - 1)
+    # a run ends where the anchor changes, and where a text begins or has no window any more
+    edges = np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, offsets[:-1], offsets[:-1] + sizes])
+    edges = np.unique(edges[edges < len(least)])
+    row = np.searchsorted(offsets, edges, side="right") - 1
+    end = np.minimum(np.append(edges[1:], len(least)), offsets[row] + sizes[row])
+    some = edges < end
+    row, first, windows = row[some], edges[some], (end - edges)[some]
+    last_place = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    anchor = (last_place - (least[first] & last_place)).astype(np.int64)
+    return row, first, windows, hashes[anchor], flat.span_hashes(sums, first, first + windows + match - 1)
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end, as numbers in the order of the bytes."""
+    n = len(text)
+    padded = np.zeros(n + 8, np.uint64)
+    padded[:n] = text
+    key = padded[:n].copy()
+    for j in range(1, 8):
+        key <<= np.uint64(8)
+        key |= padded[j:j + n]
+    return key
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +102,10 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     settled, which doubles that number.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | padded[j:j + n]
-    order = np.argsort(key, kind="stable")
+    key = _words(text)
+    order = np.argsort(key)
     same = np.zeros(n, bool)
     same[1:] = key[order][1:] == key[order][:-1]
-    # near the end zeros were added: shorter suffixes come first among equals
     head = np.flatnonzero(~same)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -111,7 +118,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         then = rank[np.minimum(own + settled, n)]
         # past the end, the nearer the end the smaller
         then = np.where(own + settled > n, n - own - settled - 1, then)
-        by = np.lexsort((then, group))
+        by = np.argsort(group * (2 * n + 2) + then + n)
         own, group, then = own[by], group[by], then[by]
         order[open_] = own
         new = np.ones(len(own), bool)
@@ -132,7 +139,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, start
     """
     n = len(text)
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([text, np.zeros(limit + 1, text.dtype)])
+    padded = np.concatenate([text, np.zeros(limit + 80, text.dtype)])
+    words = _words(padded)
+    block = 8 * np.arange(8)
     longest = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[longest], lengths[longest]
     alive = len(lengths) - np.cumsum(np.bincount(lengths, minlength=int(lengths.max()) + 1))[:-1]
@@ -142,11 +151,18 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, start
         place = rank[at]
         other = order[np.maximum(place - 1, 0)]
         size = np.where(place > 0, np.maximum(shared[:k] - 1, 0), 0)
+        # 64 bytes at a time, then 8, then single ones; what zeros after the end add is cut off
         going = np.flatnonzero(place > 0)
-        while len(going):
-            a, b = at[going] + size[going], other[going] + size[going]
-            going = going[(size[going] < limit) & (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])]
-            size[going] += 1
+        for width, same in ((64, lambda a, b: (words[a[:, None] + block] == words[b[:, None] + block]).all(1)),
+                            (8, lambda a, b: words[a] == words[b]), (1, lambda a, b: padded[a] == padded[b])):
+            left = going
+            while len(left):
+                a, b = at[left] + size[left], other[left] + size[left]
+                left = left[(size[left] < limit) & (np.maximum(a, b) < n)]
+                a, b = at[left] + size[left], other[left] + size[left]
+                left = left[same(a, b)]
+                size[left] += width
+        size = np.minimum(size, np.minimum(limit, n - np.maximum(at, other)))
         shared[:k] = size
         out[place] = size
     return out
