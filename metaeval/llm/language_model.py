@@ -243,7 +243,7 @@ def scored(documents: DataFrame, held_out: Column, id_column: str = "doc_id", te
             for first, end, data, offsets in flat.pieces(batch.column("text")):
                 n = end - first
                 found, row = tokens_of(data, offsets)
-                score = np.bincount(row, model.value.log_probabilities(found, row), n)
+                score = np.bincount(row, model.value.log_probabilities(found, row), n).astype(float)
                 own = found.view(np.int64)
                 at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                 is_common = known[at] == own if len(known) else np.zeros(len(own), bool)
@@ -259,7 +259,7 @@ def scored(documents: DataFrame, held_out: Column, id_column: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.arange(number, number + n)),
                     pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[is_common], minlength=n)),
-                    pa.array(np.bincount(row[is_common], np.log10(c + 1.0), n)), pa.array(score),
+                    pa.array(np.bincount(row[is_common], np.log10(c + 1.0), n).astype(float)), pa.array(score),
                     flat.lists(pa.array(rare[start]), lengths), flat.lists(pa.array(times), lengths)], names=schema.names)
                 number += n
 
