@@ -5,7 +5,8 @@ their hashes by ranges, as steps whose bytes of equal weight stand beside each
 other, so that the shuffle's compression gets at them. The counts of a range meet
 in one group. The outcome is a bitmap per threshold, of a fixed size. A cell
 counts every hash in it: a frequent hash is never missed, while a rare one may
-pass for frequent. The threshold rises with the mean load of a cell.
+pass for frequent. Only with ``rising`` the threshold rises with the mean load of a
+cell; then frequent hashes may be missed, and the bitmaps may only order things.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ CELL_BITS = 34
 FLUSH = 4_000_000
 
 
-def frequent_slots(rows: DataFrame, hashes: Callable, thresholds: Sequence[float], bitmap_bits: int) -> list[np.ndarray]:
+def frequent_slots(rows: DataFrame, hashes: Callable, thresholds: Sequence[float], bitmap_bits: int, rising: bool = False) -> list[np.ndarray]:
     """A bitmap for each threshold. ``hashes(data, offsets)`` lists arrays of hashes of a piece of ``text``."""
     spark = rows.sparkSession
     flat.small_batches(spark)
@@ -65,7 +66,7 @@ def frequent_slots(rows: DataFrame, hashes: Callable, thresholds: Sequence[float
         out = []
         for k, least in enumerate(thresholds):
             marks = np.zeros(size, np.uint8)
-            marks[(found[n >= least + int(load)] >> (CELL_BITS - bitmap_bits)) - part * size] = 1
+            marks[(found[n >= least + (int(load) if rising else 0)] >> (CELL_BITS - bitmap_bits)) - part * size] = 1
             if marks.any():
                 out.append((k, part, np.packbits(marks, bitorder="little").tobytes()))
         return pd.DataFrame(out, columns=["threshold", "part", "packed"])

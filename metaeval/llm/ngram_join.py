@@ -307,7 +307,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """Every document (id, n, sig), and the component of each set that has a link to a different one (node, component)."""
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    maps = spark.sparkContext.broadcast(frequent_slots(rows, shingle_sets, FREQUENT, BITMAP_BITS))
+    maps = spark.sparkContext.broadcast(frequent_slots(rows, shingle_sets, FREQUENT, BITMAP_BITS, rising=True))
     sets = flat.written(_sets_with_prefix(rows, maps))
     shared = flat.written(_shared_tokens(sets))
     led = shared.filter("sig != leader").filter(_may_link(F.col("n"), F.col("leader_n"), F.col("pos"), F.col("leader_pos")))
