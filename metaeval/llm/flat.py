@@ -155,7 +155,11 @@ def lists(flat: pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def written(df: DataFrame) -> DataFrame:
+#: A reader holds a whole row group of up to 4,096 rows; wide rows need small ones.
+WIDE_ROWS = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def written(df: DataFrame, wide: bool = False) -> DataFrame:
     """Cut lineage: the rows, written as a table to the shared folder and read again.
 
     Columnar files take a fraction of the room that checkpointed rows take. The
@@ -163,7 +167,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     release(spark)

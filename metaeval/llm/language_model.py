@@ -1,21 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The filter holds n-grams of one to three tokens with quantised counts: a count in
-the ``q``-th power of ``BASE`` is stored as the ``q`` keys (n-gram, 1) to
-(n-gram, q), and is read back by probing until a key is missing. It also holds, for
-each context, the summed counts of its stored continuations; what a context's
-count leaves beyond them goes to the shorter context. So
+The filter holds every n-gram of one to three tokens of the training corpus with
+its quantised count: a count in the ``q``-th power of ``BASE`` is stored as the ``q``
+keys (n-gram, 1) to (n-gram, q), and is read back by probing until a key is
+missing. A context is continued as often as it occurs, unless it ends a text, so
 
-    P(w | h) = (c(hw) + (c(h) - s(h) + K) P(w | shorter h)) / (c(h) + K)
+    P(w | h) = (c(hw) + K P(w | shorter h)) / (c(h) + K)
 
-and tokens that are not stored share the mass of the counts not stored.
-
-An n-gram is stored if its share of the corpus's tokens is at least
-``1 / STORED``, at whatever size of the corpus; counts are taken in that unit. So
-at most ``STORED`` keys per order and as many for the contexts go in, the filter
-has a proven size, and may be broadcast. Counting covers the whole training
-corpus: words exactly; longer n-grams by cells of the hash space first, and
-exactly where a cell reaches the share.
+The filter grows with the corpus. It is cut by hash into segments, as many as the
+texts need for each to fit a task, and is never in one place: pieces of text send
+their different keys to the segments, and get their levels back.
 
 The base score needs every token's exact count. Tokens with a share of at least
 ``1 / COMMON`` are at most ``COMMON`` and are broadcast; occurrences of all others
@@ -37,22 +31,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from metaeval.llm import bits, flat
-from metaeval.llm.cells import frequent_slots
+from metaeval.llm import flat
 from metaeval.llm.registry import query
 
 ORDER = 3
-STORED = 1 << 23
 COMMON = 1 << 18
 BASE = 1.25
 PROBES = 4
 BITS_PER_KEY = 10
-SEGMENT_BITS = 8
-CELL_BITMAP_BITS = 26
+SEGMENT_BYTES = 4 << 20
 SMOOTHING = 100.0
 FLUSH = 2_000_000
 END = np.uint64(0xA24BAED4963EE407)
-_CONTEXT = np.uint64(0x9FB21C651E98DF25)
+_KEY = np.uint64(0xFFFFFFFFFFFF0000)
 _LEVEL = np.uint64(0xD1342543DE82EF95)
 _PROBE = np.uint64(0x2127599BF4325C37)
 
@@ -81,11 +72,8 @@ def _training(documents: DataFrame, id_column: str, text_column: str, held_out:
     return documents.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
 
-def _counted(rows: DataFrame, orders: range, wanted=None) -> DataFrame:
-    """gram, context, order, n: counts over all rows; each task adds up before the shuffle.
-
-    ``wanted`` is a bitmap that lets n-grams through.
-    """
+def _counted(rows: DataFrame, orders: range) -> DataFrame:
+    """gram, context, order, n: counts over all rows; each task adds up before the shuffle."""
     flat.small_batches(rows.sparkSession)
     names = ["gram", "context", "size", "n"]
 
@@ -102,9 +90,6 @@ def _counted(rows: DataFrame, orders: range, wanted=None) -> DataFrame:
                 tokens, row = tokens_of(data, offsets)
                 for k in orders:
                     gram, context, _ = ngrams(tokens, row, k)
-                    if wanted is not None:
-                        ok = bits.has(wanted.value, gram, CELL_BITMAP_BITS)
-                        gram, context = gram[ok], context[ok]
                     unique, first, n = np.unique(gram, return_index=True, return_counts=True)
                     held.append((unique, context[first], np.full(len(unique), k), n))
                     waiting += len(unique)
@@ -123,102 +108,185 @@ def _level(n: np.ndarray, unit: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(n / unit, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def _bytes(values: np.ndarray) -> bytes:
+    """Numbers with their bytes of equal weight beside each other, for the shuffle's compression."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Ordered values as their steps."""
+    return _bytes(np.diff(values, prepend=np.uint64(0)))
+
+
+def _values(blob: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(blob), dtype=np.uint64)
+
+
+def _segment(keys: np.ndarray, bits_of_segments: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits_of_segments)).astype(np.int64)
+
+
+def _cut(keys: np.ndarray, bits_of_segments: int) -> Iterator[tuple[int, int, int]]:
+    """Segment, first and end of the ordered keys of every segment."""
+    of = _segment(keys, bits_of_segments)
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    return zip(of[at].tolist(), at.tolist(), [*at[1:].tolist(), len(of)])
+
+
+def _positions(keys: np.ndarray, level: np.ndarray | int, probe: int, size_bits: int) -> np.ndarray:
+    """The place of a key at a level in the filter of its segment."""
+    return (flat.mixed(keys + np.asarray(level).astype(np.uint64) * _LEVEL + np.uint64(probe) * _PROBE) >> np.uint64(64 - size_bits)).astype(np.int64)
+
+
+def _filled(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """The filter of a segment: all keys with their counts, as large as they need."""
+    level = _level(n.astype(float), 1.0)
+    size_bits = max(10, int(BITS_PER_KEY * level.sum()).bit_length())
+    marks = np.zeros(1 << size_bits, np.uint8)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        for probe in range(PROBES):
+            marks[_positions(keys[level >= k], k, probe, size_bits)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def _levels(packed: bytes, keys: np.ndarray) -> np.ndarray:
+    """How many levels of each key are in the filter of its segment, from the first on."""
+    marks = np.frombuffer(packed, np.uint8)
+    size_bits = (8 * len(marks)).bit_length() - 1
+    found, left, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+    while len(left) and level < 255:
+        level += 1
+        for probe in range(PROBES):
+            at = _positions(keys[left], level, probe, size_bits)
+            left = left[(marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        found[left] = level
+    return found
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The quantised counts: 0, or the middle of the level's range in whole numbers."""
+    level = level.astype(float)
+    low, high = np.ceil(BASE ** (level - 1) - 1e-6), np.ceil(BASE ** level - 1e-6) - 1
+    return np.where(level > 0, (low + np.maximum(high, low)) / 2, 0)
+
+
+def _keys(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The n-grams' hashes, shortest first, in the 48 bits that travel; equal ones by chance are far fewer than a filter's errors."""
+    return np.concatenate([ngrams(tokens, row, k)[0] for k in range(1, ORDER + 1)]) & _KEY
+
+
+def log_probabilities(tokens: np.ndarray, row: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of each token's probability after up to two tokens before it in its row; ``counts`` has those of its keys."""
+    own = counts[:len(tokens)]
+    # every token has half a count more, and so has one unknown
+    p, used = (own + 0.5) / (total + 0.5 * (distinct + 1)), len(tokens)
+    for k in range(2, ORDER + 1):
+        at = np.flatnonzero(row[k - 1:] == row[:max(0, len(row) - k + 1)]) + k - 1
+        n, whole = counts[used:used + len(at)], own[at - 1]
+        p[at] = (np.minimum(n, whole) + SMOOTHING * p[at]) / (whole + SMOOTHING)
+        own, used = np.zeros(len(tokens)), used + len(at)
+        own[at] = n
+    return np.log10(p)
+
+
 @dataclass
 class Filter:
-    """The filter's bits and the figures that turn probes into probabilities."""
+    """The filter as a table of segments, each with its bits. A few keys can be read here; ``scored`` looks them up in tasks."""
 
-    packed: np.ndarray
-    size_bits: int
-    unit: float
+    table: DataFrame
+    bits_of_segments: int
     tokens: int
     distinct: int
-    stored_mass: float = 0.0
-
-    def positions(self, keys: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-        """The place of a key at a level: the top bits name a segment, the probe a bit in it."""
-        inside = self.size_bits - SEGMENT_BITS
-        spot = flat.mixed(keys + np.asarray(level).astype(np.uint64) * _LEVEL + np.uint64(probe) * _PROBE) >> np.uint64(64 - inside)
-        return ((keys >> np.uint64(64 - SEGMENT_BITS) << np.uint64(inside)) | spot).astype(np.int64)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """How many keys of each n-gram are found, from the first on."""
-        found, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-        while len(left):
-            level += 1
-            for probe in range(PROBES):
-                at = self.positions(keys[left], level, probe)
-                left = left[(self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            found[left] = level
-        return found
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised counts: 0, or the middle of the level's range in whole numbers."""
-        unique, back = np.unique(keys, return_inverse=True)
-        level = self.levels(unique)
-        low, high = np.ceil(self.unit * BASE ** (level - 1) - 1e-6), np.ceil(self.unit * BASE ** level - 1e-6) - 1
-        return np.where(level > 0, (low + np.maximum(high, low)) / 2, 0)[back]
+        unique, back = np.unique(keys & _KEY, return_inverse=True)
+        found = np.zeros(len(unique), np.uint8)
+        at = {segment: (first, end) for segment, first, end in _cut(unique, self.bits_of_segments)}
+        for r in self.table.toLocalIterator():
+            first, end = at.get(r["segment"], (0, 0))
+            found[first:end] = _levels(r["packed"], unique[first:end])
+        return _middle(found)[back]
 
     def log_probabilities(self, tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after up to two tokens before it in its row."""
-        # what the stored counts leave is shared by all tokens and one unknown
-        share = max(0.5, (self.tokens - self.stored_mass) / (self.distinct + 1))
-        p = (self.counts(tokens) + share) / (self.stored_mass + share * (self.distinct + 1))
-        for k in range(2, ORDER + 1):
-            gram, context, at = ngrams(tokens, row, k)
-            inside = self.counts(flat.mixed(context ^ _CONTEXT))
-            some = inside > 0
-            gram, context, at, inside = gram[some], context[some], at[some], inside[some]
-            n, whole = self.counts(gram), np.maximum(self.counts(context), inside)
-            p[at] = (np.minimum(n, inside) + (whole - inside + SMOOTHING) * p[at]) / (whole + SMOOTHING)
-        return np.log10(p)
+        return log_probabilities(tokens, row, self.counts(_keys(tokens, row)), self.tokens, self.distinct)
+
+
+def _bits_of_segments(rows: DataFrame) -> int:
+    """So many segments that each is dealt the n-grams of about ``SEGMENT_BYTES`` of text, at any size."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, int(size // SEGMENT_BYTES).bit_length())
+
+
+def _asked(pieces: DataFrame, bits_of_segments: int) -> DataFrame:
+    """segment, piece, and of the piece's different keys in that segment: their steps, and their counts in training rows."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, held_out, lengths, data in zip(*(batch.column(c) for c in ("piece", "held_out", "lengths", "data"))):
+                tokens, row = tokens_of(np.frombuffer(data.as_buffer(), np.uint8), np.concatenate([[0], np.cumsum(lengths.values.to_numpy())]))
+                learned = ~held_out.values.to_numpy(zero_copy_only=False)[row]
+                keys, at = np.unique(_keys(tokens, row), return_inverse=True)
+                rows_of = np.concatenate([learned[ngrams(tokens, row, k)[2]] for k in range(1, ORDER + 1)])
+                n = np.bincount(at, rows_of, len(keys)).astype(np.uint64)
+                out = [(s, _steps(keys[a:b]), _bytes(n[a:b])) for s, a, b in _cut(keys, bits_of_segments)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([piece.as_py()] * len(out), pa.int64()),
+                                                  *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2))], names=["segment", "piece", "keys", "n"])
+
+    return pieces.select("piece", "held_out", "lengths", "data").mapInArrow(ask, "segment long, piece long, keys binary, n binary")
+
+
+def _summed(asked: pd.DataFrame) -> tuple[bytes, np.ndarray, np.ndarray, list]:
+    """The filter of a segment, its different keys, the place of each asked key among them, and how many each piece asked."""
+    each = [_values(x) for x in asked["keys"]]
+    keys, at = np.unique(np.concatenate(each), return_inverse=True)
+    n = np.bincount(at, np.concatenate([_numbers(x) for x in asked["n"]]), len(keys))
+    return _filled(keys[n > 0], n[n > 0]), keys, at, [len(x) for x in each]
 
 
 def train(rows: DataFrame, words: DataFrame, tokens: int, distinct: int) -> Filter:
-    """The filter of the training rows; ``words`` has their exact counts."""
-    unit = max(1.0, tokens / STORED)
-    spark = rows.sparkSession
-
-    def hashes(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        found = tokens_of(data, offsets)
-        return [ngrams(*found, k)[0] for k in range(2, ORDER + 1)]
-
-    maybe = spark.sparkContext.broadcast(frequent_slots(rows, hashes, (unit,), CELL_BITMAP_BITS)[0])
-    stored = flat.written(words.unionByName(_counted(rows, range(2, ORDER + 1), maybe)).filter(F.col("n") >= unit))
-    inside = stored.filter("size > 1").groupBy("context").agg(F.sum("n").alias("n"))
-    keys = stored.select("gram", "n", F.lit(False).alias("is_context")).unionByName(
-        inside.select(F.col("context").alias("gram"), "n", F.lit(True).alias("is_context")))
-    keys = keys.withColumn("level", F.floor(F.log(F.greatest(F.col("n") / unit, F.lit(1.0))) / float(np.log(BASE)) + 1e-9) + 1)
-    total, mass = keys.agg(F.sum("level"), F.sum(F.when(~F.col("is_context"), F.col("level")))).first()
-    size_bits = max(16, int(BITS_PER_KEY * (total or 0)).bit_length())
-    made = Filter(np.zeros(1, np.uint8), size_bits, unit, tokens, distinct)
-    segment = 1 << (size_bits - SEGMENT_BITS)
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        gram = part["gram"].to_numpy().view(np.uint64)
-        context = part["is_context"].to_numpy()
-        gram = np.where(context, flat.mixed(gram ^ _CONTEXT), gram)
-        level = _level(part["n"].to_numpy().astype(float), unit)
-        gram, step = np.repeat(gram, level), np.concatenate([np.arange(1, x + 1) for x in level]) if len(level) else level
-        marks, own = np.zeros(segment, np.uint8), int(part["segment"].iloc[0])
-        for probe in range(PROBES):
-            marks[made.positions(gram, step, probe) - own * segment] = 1
-        return pd.DataFrame({"segment": [own], "packed": [np.packbits(marks, bitorder="little").tobytes()]})
+    """The filter of all n-grams of the training rows, as a table. ``words`` is not read: words are counted with the rest."""
+    rows = rows.select("id", F.lit(False).alias("held_out"), "text")
+    flat.small_batches(rows.sparkSession)
+    bits_of_segments = _bits_of_segments(rows)
+
+    def fill(asked: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"segment": [asked["segment"].iloc[0]], "packed": [_summed(asked)[0]]})
+
+    filled = _asked(_packed(rows), bits_of_segments).groupBy("segment").applyInPandas(fill, "segment long, packed binary")
+    return Filter(flat.written(filled), bits_of_segments, tokens, distinct)
+
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(rows: DataFrame) -> DataFrame:
+    """Pieces of rows: number, ids, held_out, lengths and bytes of the texts; a piece is one row."""
+    schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("id", T.ArrayType(rows.schema["id"].dataType)),
+                           T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            gram = batch.column("gram").to_numpy().view(np.uint64)
-            gram = np.where(batch.column("is_context").to_numpy(zero_copy_only=False), flat.mixed(gram ^ _CONTEXT), gram)
-            yield batch.append_column("segment", pa.array((gram >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)))
+            for first, end, data, offsets in flat.pieces(batch.column("text")):
+                one = np.array([end - first])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number]), *(flat.lists(batch.column(c).slice(first, end - first), one) for c in ("id", "held_out")),
+                    flat.lists(pa.array(np.diff(offsets)), one), pa.array([data.tobytes()], pa.binary())], names=schema.names)
+                number += 1
+
+    return flat.written(rows.mapInArrow(pack, schema), wide=True)
+
+
+def _levels_of(pieces: DataFrame, bits_of_segments: int) -> DataFrame:
+    """piece, segment, and the levels of the piece's different keys in that segment's filter, in their order."""
 
-    keys = keys.select("gram", "n", "is_context")
-    placed = keys.mapInArrow(place, T.StructType([*keys.schema, T.StructField("segment", T.LongType())]))
-    made.packed = np.zeros((1 << size_bits) // 8, np.uint8)
-    for r in placed.groupBy("segment").applyInPandas(fill, "segment long, packed binary").toLocalIterator():
-        first = r["segment"] * segment // 8
-        made.packed[first:first + segment // 8] = np.frombuffer(bytes(r["packed"]), np.uint8)
-    flat.release(spark)
-    made.stored_mass = float(stored.filter("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    return made
+    def answer(asked: pd.DataFrame) -> pd.DataFrame:
+        packed, keys, at, sizes = _summed(asked)
+        levels = np.split(_levels(packed, keys)[at], np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"piece": asked["piece"], "segment": asked["segment"], "levels": [x.tobytes() for x in levels]})
+
+    return flat.written(_asked(pieces, bits_of_segments).groupBy("segment").applyInPandas(answer, "piece long, segment long, levels binary"))
 
 
 def scored(documents: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -228,42 +296,47 @@ def scored(documents: DataFrame, held_out: Column, id_column: str = "doc_id", te
     training = _training(documents, id_column, text_column, held_out)
     words = flat.written(_counted(training, range(1, 2)))
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(train(training, words, tokens, distinct))
+    rows = documents.select(F.col(id_column).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
     common = words.filter(F.col("n") >= max(1.0, tokens / COMMON)).select("gram", "n").toPandas().sort_values("gram")
     common = spark.sparkContext.broadcast((common["gram"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
-    rows = documents.select(F.col(id_column).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
-    schema = T.StructType([rows.schema["id"], rows.schema["held_out"], *(T.StructField(c, t) for c, t in (
-        ("row", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("logs", T.DoubleType()), ("score", T.DoubleType()),
-        ("gram", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType()))))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        known, counts = common.value
-        for batch in batches:
-            for first, end, data, offsets in flat.pieces(batch.column("text")):
-                n = end - first
-                found, row = tokens_of(data, offsets)
-                score = np.bincount(row, model.value.log_probabilities(found, row), n).astype(float)
-                own = found.view(np.int64)
-                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                is_common = known[at] == own if len(known) else np.zeros(len(own), bool)
-                c = counts[at[is_common]] if len(known) else np.zeros(0, np.int64)
-                rare, rare_row = own[~is_common], row[~is_common]
-                order = np.lexsort((rare, rare_row))
-                rare, rare_row = rare[order], rare_row[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])
-                start = np.flatnonzero(new)
-                times = np.diff(np.append(start, len(rare)))
-                lengths = np.bincount(rare_row[start], minlength=n)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.arange(number, number + n)),
-                    pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[is_common], minlength=n)),
-                    pa.array(np.bincount(row[is_common], np.log10(c + 1.0), n).astype(float)), pa.array(score),
-                    flat.lists(pa.array(rare[start]), lengths), flat.lists(pa.array(times), lengths)], names=schema.names)
-                number += n
-
-    each = flat.written(rows.mapInArrow(run, schema))
+    pieces = _packed(rows)
+    levels = _levels_of(pieces, _bits_of_segments(rows))
+    lists = {"id": pieces.schema["id"].dataType, "held_out": T.ArrayType(T.BooleanType())} | {
+        c: T.ArrayType(t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("logs", T.DoubleType()), ("score", T.DoubleType()),
+                                       ("gram", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType())))}
+    schema = T.StructType([T.StructField("piece", T.LongType()), *(T.StructField(c, t) for c, t in lists.items())])
+
+    def run(piece: pd.DataFrame, found_levels: pd.DataFrame) -> pd.DataFrame:
+        if not len(piece):
+            return pd.DataFrame(columns=schema.names)
+        r = piece.iloc[0]
+        n = len(r["lengths"])
+        found, row = tokens_of(np.frombuffer(r["data"], np.uint8), np.concatenate([[0], np.cumsum(r["lengths"])]).astype(np.int64))
+        keys, key = np.unique(_keys(found, row), return_inverse=True)
+        level = np.frombuffer(b"".join(found_levels.sort_values("segment")["levels"]), np.uint8)
+        if len(level) != len(keys):
+            raise ValueError(f"{len(level)} answers for {len(keys)} keys of a piece")
+        score = np.bincount(row, log_probabilities(found, row, _middle(level)[key], tokens, distinct), n).astype(float)
+        known, exact = common.value
+        own = found.view(np.int64)
+        at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        is_common = known[at] == own if len(known) else np.zeros(len(own), bool)
+        c = exact[at[is_common]] if len(known) else np.zeros(0, np.int64)
+        rare, rare_row = own[~is_common], row[~is_common]
+        order = np.lexsort((rare, rare_row))
+        rare, rare_row = rare[order], rare_row[order]
+        new = np.ones(len(rare), bool)
+        new[1:] = (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])
+        start = np.flatnonzero(new)
+        times = np.diff(np.append(start, len(rare)))
+        edges = np.searchsorted(rare_row[start], np.arange(1, n))
+        return pd.DataFrame({
+            "piece": [r["piece"]], "id": [r["id"]], "held_out": [r["held_out"]], "n_tokens": [np.bincount(row, minlength=n)], "n_known": [np.bincount(row[is_common], minlength=n)],
+            "logs": [np.bincount(row[is_common], np.log10(c + 1.0), n).astype(float)], "score": [score],
+            "gram": [np.split(rare[start], edges)], "times": [np.split(times, edges)]})
+
+    each = flat.written(pieces.groupBy("piece").cogroup(levels.groupBy("piece")).applyInPandas(run, schema))
+    each = each.select("piece", F.posexplode(F.arrays_zip(*lists))).select((F.struct("piece", "pos")).alias("row"), "col.*")
     rare = each.select("row", F.explode(F.arrays_zip("gram", "times")).alias("t")).select("row", "t.gram", "t.times")
     rare = rare.join(words.select("gram", "n"), "gram").groupBy("row").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"))

@@ -78,3 +78,17 @@ def test_known_text_is_likelier(docs):
     for held in (False, True):
         some = [r for r in rows if r["held_out"] == held]
         assert sum(r["score"] for r in some) > sum(r["base_score"] for r in some)
+
+
+def test_rare_ngrams_stay_in_a_large_corpus(spark):
+    """A trigram that occurs once is stored, however many tokens there are."""
+    filler = " ".join(f"w{i % 1000}" for i in range(1_000_000))
+    rows = spark.createDataFrame([(0, "rare known phrase")], "id long, text string").unionByName(
+        spark.range(1, 11).select("id", F.lit(filler).alias("text")))
+    words = m._counted(rows, range(1, 2))
+    n, v = words.agg(F.sum("n"), F.count("*")).first()
+    assert n > 1 << 23
+    data = np.frombuffer(b"rare known phrase", np.uint8)
+    found, row = m.tokens_of(data, np.array([0, len(data)]))
+    keys = np.concatenate([m.ngrams(found, row, k)[0] for k in (1, 2, 3)])[:-1]
+    assert (m.train(rows, words, n, v).counts(keys) >= 1).all()
