@@ -37,8 +37,9 @@ from metaeval.plans.cascade import (
 from metaeval.plans.evaluate import read_predictions, report
 from metaeval.plans.prepare import PrepareOptions, prepare_rows
 from metaeval.session import delete_at_exit, shared_dir
+from metaeval.sinks.audio import flac_bytes, mpeg_bytes, opus_bytes, wav_bytes
 from metaeval.sinks.writers import cached_table, write_predictions, write_record
-from metaeval.sources.inventory import missing_files, probe_readable, write_files
+from metaeval.sources.inventory import missing_files, probe_audio, write_files
 from metaeval.sources.scores import scan_score_arrays, scan_scores
 from metaeval.sources.text_files import scan_manifests
 
@@ -195,22 +196,57 @@ def preprocess_cache_roundtrip(spark, sf):
     return cached_table(spark, root, key, refuse)
 
 
-HEADERS = ("RIFF0000WAVE", "fLaC", "OggS", "ID3", "RIFX0000WAVE", "RF640000WAVE", "RIFX0000AVI ")
 # Parts of file names that an address would have to encode.
 ODD_NAMES = ("", " a", "%20", "#1", "+", "%")
-
-
-@query(f"""SELECT doc_id, name, doc_id IN (SELECT doc_id FROM labels) AND doc_id % 7 <> 6 AS is_readable
-  FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || {v.pick_sql(ODD_NAMES, 'doc_id')} || {v.pick_sql(v.ENDINGS, 'doc_id')} AS name FROM documents)""")
+# First bytes that audio files have, before texts that are none.
+FAKES = (b"RIFF0000WAVE", b"fLaC", b"OggS", b"ID3", b"\xff\xfb\x90\0")
+WAV_KINDS = (b"RIFF", b"RIFX", b"RF64")
+
+
+def audio_file(doc_id: int, text: bytes) -> bytes:
+    """An audio file around the bytes of a text; some are cut, some only begin like one."""
+    kind = doc_id % len(v.ENDINGS)
+    if kind == 0:
+        content = wav_bytes(text, 16000, bits=8, kind=WAV_KINDS[doc_id % 3])
+    elif kind == 1:
+        content = flac_bytes(text[:len(text) // 2 * 2], 16000)
+    elif kind == 2:
+        content = opus_bytes([text[:60000], text[:9]], len(text))
+    elif kind == 3:
+        content = mpeg_bytes(1 + len(text) % 40, tag=text[:1000] if doc_id % 2 else b"")
+    else:
+        content = wav_bytes(text[:len(text) // 8 * 8], 44100, 2, 32, 3)
+    if doc_id % 7 == 5:
+        return FAKES[kind] + text
+    return content[:len(content) * 2 // 3] if doc_id % 7 == 6 else content
+
+
+def audio_files(rows: DataFrame) -> DataFrame:
+    def build(frames):
+        for frame in frames:
+            yield frame.assign(content=[audio_file(i, t.encode()) for i, t in zip(frame["doc_id"], frame["text"])])[["path", "content"]]
+
+    return rows.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(build, "path string, content binary")
+
+
+@query(f"""SELECT doc_id, name, is_readable, CASE WHEN is_readable THEN frames END AS frames,
+    CASE WHEN is_readable THEN ([16000, 16000, 48000, 44100, 44100])[k] END AS rate,
+    CASE WHEN is_readable THEN ([1, 1, 2, 2, 2])[k] END AS channels
+  FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || {v.pick_sql(ODD_NAMES, 'doc_id')} || {v.pick_sql(v.ENDINGS, 'doc_id')} AS name,
+    doc_id IN (SELECT doc_id FROM labels) AND doc_id % 7 < 5 AS is_readable, CAST(doc_id % 5 + 1 AS INTEGER) AS k,
+    ([n, n // 2, n, 1152 * (1 + n % 40), n // 8])[CAST(doc_id % 5 + 1 AS INTEGER)] AS frames
+    FROM (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents))""")
 def readable_flag(spark, sf):
+    """Real audio files beside cut and false ones, and what their structure says."""
     root, i = f"{new_folder(spark)}/clips", F.col("doc_id")
     name = F.concat(i.cast("string"), v.pick(ODD_NAMES, i), v.pick(v.ENDINGS, i))
     named = v.table(spark, sf, "documents").select(
         "doc_id", name.alias("name"), F.concat(F.lit(f"{root}/"), name).alias("path"), "text")
     labelled = v.table(spark, sf, "labels").select("doc_id").distinct()
-    write_files(named.join(labelled, "doc_id", "left_semi").select(
-        "path", F.concat(v.pick(HEADERS, i), "text").cast("binary").alias("content")))
-    return probe_readable(named.select("doc_id", "name", "path")).select("doc_id", "name", "is_readable")
+    write_files(audio_files(named.join(labelled, "doc_id", "left_semi")))
+    probed = probe_audio(named.select("doc_id", "name", "path"))
+    known = lambda c: F.when(F.col("is_readable"), F.col(f"audio.{c}")).alias(c)
+    return probed.select("doc_id", "name", "is_readable", known("frames"), known("rate"), known("channels"))
 
 
 FILE_QE, FILE_METRICS = ("Unbabel/XCOMET-XL", "google/metricx-23-xl-v2p0"), ("Unbabel/XCOMET-XL", "google/metricx-23-xl-v2p0")

@@ -8,9 +8,8 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from metaeval.functions.audio import has_audio_header
+from metaeval.functions.containers import Audio, parse, parse_bytes
 from metaeval.functions.text import file_safe
 from metaeval.operators.lookup import attach
 
@@ -55,40 +54,64 @@ def relative_to(path: Column, root: str) -> Column:
     return F.element_at(F.split(path, F.concat(F.lit("\\Q"), F.lit(bare), F.lit("\\E")), 2), -1)
 
 
+AUDIO_STRUCT = "container: string, codec: string, rate: int, channels: int, frames: bigint, complete: boolean"
+
+
 def readable_contents(files: DataFrame, content: str = "content") -> DataFrame:
-    """Path and readability of files already read as bytes."""
-    return files.select("path", has_audio_header(F.col(content)).alias("is_readable"))
+    """Path, properties and readability of files already read as bytes."""
+    def parse_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "audio": [as_row(parse_bytes(c)) for c in frame["content"]]})
+
+    found = files.select("path", F.col(content).alias("content")).mapInPandas(parse_all, f"path string, audio struct<{AUDIO_STRUCT}>")
+    return with_readable(found)
+
+
+def as_row(audio: Audio | None) -> dict | None:
+    return None if audio is None else audio._asdict()
+
+
+def with_readable(found: DataFrame, whole: bool = True) -> DataFrame:
+    """``is_readable`` beside ``audio``: the file is one, and, with ``whole``, its end is there."""
+    good = F.col("audio").isNotNull()
+    return found.withColumn("is_readable", good & F.col("audio.complete") if whole else good)
 
 
 def flag_readable(manifest: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``is_readable`` to the manifest; a file not in the inventory is not.
+    """Add ``is_readable`` to the manifest, and ``audio`` where the inventory has it; a file not in the inventory is not.
 
     Both tables may be large; paths that many manifest rows share are set apart.
     """
-    known = inventory.groupBy(path).agg(F.max("is_readable").alias("is_readable"))
+    given = [c for c in ("audio",) if c in inventory.columns]
+    known = inventory.groupBy(path).agg(F.max("is_readable").alias("is_readable"), *[F.max_by(c, "is_readable").alias(c) for c in given])
     return attach(manifest, known, on=[path], spread=manifest.columns).withColumn(
         "is_readable", F.coalesce("is_readable", F.lit(False)))
 
 
-def probe_readable(manifest: DataFrame, path: str = "path", header_bytes: int = 12, attempts: int = 3) -> DataFrame:
-    """Add ``is_readable`` by opening each file of the manifest where Spark runs.
+def probe_audio(manifest: DataFrame, path: str = "path", whole: bool = True, attempts: int = 3) -> DataFrame:
+    """Add ``audio`` (container, codec, rate, channels, frames, complete) and ``is_readable``.
 
-    Only distinct paths travel to Python, and only the first bytes of a file are
-    read. A path without a scheme is one of the cluster's default file system; a
-    relative one lies in its working folder. What is no file, or may not be opened,
-    is not readable; any other failure raises after a few attempts, so that a busy
-    store does not cost rows. Tasks need access to the files.
+    Each file is opened where Spark runs and its structure is followed by a few bounded
+    reads; with ``whole`` a file whose end is missing is not readable. Only distinct
+    paths travel to Python. A path without a scheme is one of the cluster's default
+    file system; a relative one lies in its working folder. What is no file, or may
+    not be opened, is not readable; any other failure raises after a few attempts, so
+    that a busy store does not cost rows. Tasks need access to the files.
     """
     home = working_folder(manifest.sparkSession)
 
-    def read_heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(head=[first_bytes(name, home, header_bytes, attempts) for name in frame["name"]])
+            yield frame.assign(audio=[as_row(audio_of(name, home, attempts)) for name in frame["name"]])
 
     names = manifest.select(F.col(path).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    heads = names.mapInPandas(read_heads, StructType([StructField("name", StringType()), StructField("head", BinaryType())]))
-    flags = heads.select(F.col("name").alias(path), has_audio_header(F.col("head")).alias("is_readable"))
-    return flag_readable(manifest, flags, path)
+    found = names.mapInPandas(parse_all, f"name string, audio struct<{AUDIO_STRUCT}>")
+    return flag_readable(manifest, with_readable(found, whole).withColumnRenamed("name", path), path)
+
+
+def probe_readable(manifest: DataFrame, path: str = "path", attempts: int = 3) -> DataFrame:
+    """Add ``is_readable`` by opening each file of the manifest, as ``probe_audio`` does."""
+    return probe_audio(manifest, path, attempts=attempts).drop("audio")
 
 
 def located_file(name: str, home: str):
@@ -107,17 +130,18 @@ def located_file(name: str, home: str):
     return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
 
 
-def first_bytes(name: str, home: str, count: int, attempts: int) -> bytes | None:
-    """The first bytes of a file, or None if there is no such file to be read."""
+def audio_of(name: str, home: str, attempts: int) -> Audio | None:
+    """The properties of an audio file, or None if there is no such file to be read."""
     from pyarrow import fs
 
     for attempt in range(attempts):
         try:
             system, inner = located_file(name, home)
-            if system.get_file_info(inner).type != fs.FileType.File:
+            info = system.get_file_info(inner)
+            if info.type != fs.FileType.File:
                 return None
-            with system.open_input_stream(inner) as stream:
-                return stream.read(count)
+            with system.open_input_file(inner) as file:
+                return parse(lambda at, count: file.read_at(count, at) if at < info.size else b"", info.size)
         except (FileNotFoundError, PermissionError):
             return None
         except OSError:

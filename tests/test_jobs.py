@@ -8,6 +8,7 @@ from metaeval.operators.splits import (
 )
 from metaeval.plans.evaluate import evaluate, report
 from metaeval.plans.prepare import PrepareOptions, load_manifests, load_split, preprocess
+from metaeval.sinks.audio import wav_bytes
 from metaeval.streaming.prepare import prepare_stream
 
 
@@ -43,7 +44,7 @@ def test_scoring_a_split_gives_the_published_result(spark, tmp_path):
 
 def test_manifests_are_prepared_once(spark, tmp_path):
     audio = tmp_path / "a.wav"
-    audio.write_bytes(b"RIFF0000WAVE")
+    audio.write_bytes(wav_bytes(b"\0" * 20, 8000))
     (tmp_path / "m.tsv").write_text(
         "path\tsentence\tinst\tlang\n" + f"{audio}\tOne two\tRate\tde\n" + "absent.wav\tX\tRate\tde\n")
     first = load_manifests(spark, str(tmp_path), "m.tsv")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from metaeval.operators import lookup
 from metaeval.plans.cascade import Grid, grid_table, metric_path, qe_path, run_cascade
 from metaeval.plans.evaluate import read_predictions
+from metaeval.sinks.audio import flac_bytes
 from metaeval.sinks.writers import (
     cached_table, prediction_name, record_name, write_predictions, write_record,
 )
@@ -148,10 +149,11 @@ def test_readable_audio(spark, tmp_path):
         out.writeframes(b"\0\0" * 2000)
     (tmp_path / "bad.wav").write_bytes(b"nothing here")
     (tmp_path / "short.flac").write_bytes(b"fLaC")
-    names = ["good.wav", "bad.wav", "short.flac", "absent.wav", "good.wav"]
+    (tmp_path / "whole.flac").write_bytes(flac_bytes(b"\0\1" * 5000, 16000))
+    names = ["good.wav", "bad.wav", "short.flac", "absent.wav", "good.wav", "whole.flac"]
     manifest = spark.createDataFrame([(i, str(tmp_path / n)) for i, n in enumerate(names)],
                                      "pos int, path string")
-    want = [True, False, True, False, True]
+    want = [True, False, False, False, True, True]
     probed = probe_readable(manifest).orderBy("pos").collect()
     assert [r["is_readable"] for r in probed] == want
     files = spark.read.format("binaryFile").load(str(tmp_path)).withColumn(

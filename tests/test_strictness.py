@@ -12,6 +12,7 @@ from metaeval.operators.lookup import attach
 from metaeval.operators.ordering import with_positions
 from metaeval.operators.tokens import build_vocabulary, encode
 from metaeval.plans.cascade import Grid, run_cascade
+from metaeval.sinks.audio import wav_bytes
 from metaeval.sources.inventory import probe_readable
 from metaeval.sources.scores import scan_scores
 from metaeval.sources.text_files import malformed_cells, read_tsv, scan_manifests
@@ -109,7 +110,7 @@ def test_positions_do_not_write_other_columns(spark):
 def test_odd_names_and_relative_paths_can_be_probed(spark, tmp_path):
     names = ["w w.wav", "w%20x.wav", "w#1.wav", "w+.wav"]
     for n in names:
-        (tmp_path / n).write_bytes(b"RIFF0000WAVE")
+        (tmp_path / n).write_bytes(wav_bytes(b"\0" * 20, 8000))
     (tmp_path / "d.wav").mkdir()
     paths = [str(tmp_path / n) for n in [*names, "none.wav", "d.wav"]] + [f"file://{tmp_path}/{names[0]}", None]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
