@@ -303,10 +303,11 @@ def _by_segment(cut: DataFrame, rows, schema: str) -> DataFrame:
 # ---- writing
 
 
-def write_arcs(rows: DataFrame, folder: str, version: int | None = None) -> None:
+def write_arcs(rows: DataFrame, folder: str, version: int | None = None, compression: str = "none") -> None:
     """One ARC file per partition. Columns: ``url``, ``ip``, ``date``, ``content_type``, ``status``, ``block``.
 
-    Without a ``version`` partitions take turns: 1, 2, 1, …
+    Without a ``version`` partitions take turns: 1, 2, 1, … Packed files (``gzip``) are read by
+    one task each, so pack only partitions of a size that a task can read.
     """
     flat.small_batches(rows.sparkSession)
 
@@ -336,7 +337,7 @@ def write_arcs(rows: DataFrame, folder: str, version: int | None = None) -> None
             yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
     written = rows.select("url", "ip", "date", "content_type", "status", "block").mapInArrow(run, "value binary")
-    written.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(folder)
+    written.select(F.col("value").cast("string")).write.options(lineSep="\n", compression=compression).text(folder)
 
 
 def warc_record(kind: str, name: str, date: str, fields: list[tuple[str, str | None]], content_type: str | None, block: bytes) -> bytes:
@@ -347,7 +348,7 @@ def warc_record(kind: str, name: str, date: str, fields: list[tuple[str, str | N
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def convert(spark: SparkSession, arcs: str, warcs: str, key_header: str | None = None, key_type: str = "long", range_bytes: int = RANGE_BYTES) -> None:
+def convert(spark: SparkSession, arcs: str, warcs: str, key_header: str | None = None, key_type: str = "long", range_bytes: int = RANGE_BYTES, compression: str = "none") -> None:
     """Write the records of the ARC files of a folder as WARC files.
 
     ``key_header`` names the HTTP header line whose value, as ``key_type``, decides which of
@@ -378,7 +379,7 @@ def convert(spark: SparkSession, arcs: str, warcs: str, key_header: str | None =
             yield (converted(path, offset, layout, fields, block, copies.get(offset)),)
 
     work = cut.join(again, ["path", "start"], "left").select("path", "start", "end", "again")
-    _by_segment(work, warc_rows, "value binary").select(F.col("value").cast("string")).write.option("lineSep", RECORD_END).text(warcs)
+    _by_segment(work, warc_rows, "value binary").select(F.col("value").cast("string")).write.options(lineSep=RECORD_END, compression=compression).text(warcs)
 
 
 def converted(path: str, offset: int, layout: ArcFormat, fields: dict, block: bytes, best) -> bytes:
@@ -441,8 +442,9 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     folder = f"{shared_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
     delete_at_exit(spark, folder)
-    write_arcs(page_records(pages), f"{folder}/arc")
-    convert(spark, f"{folder}/arc", f"{folder}/warc", KEY_HEADER, kind.simpleString())
+    # packed, as archives are kept: a file holds what one task reads of the pages
+    write_arcs(page_records(pages), f"{folder}/arc", compression="gzip")
+    convert(spark, f"{folder}/arc", f"{folder}/warc", KEY_HEADER, kind.simpleString(), compression="gzip")
     facts = flat.written(page_facts(segments(spark, f"{folder}/warc", "warc")).withColumn("page_id", F.col("page_id").cast(kind)))
     # only responses that others refer to are looked up: one row per group of copies
     kept = facts.filter("refers IS NOT NULL").select("refers").distinct().join(
