@@ -40,7 +40,8 @@ from metaeval.session import delete_at_exit, shared_dir
 from metaeval.sinks.audio import flac_bytes, mpeg_bytes, opus_bytes, wav_bytes
 from metaeval.sinks.writers import cached_table, write_predictions, write_record
 from metaeval.sources.inventory import missing_files, probe_audio, write_files
-from metaeval.sources.scores import scan_score_arrays, scan_scores
+from metaeval.sources.records import keep_index, listed
+from metaeval.sources.scores import scan_score_arrays, scan_scores, select_scores
 from metaeval.sources.text_files import scan_manifests
 
 QUERIES: dict = {}
@@ -124,6 +125,38 @@ def score_scan_positional(spark, sf):
     return scan_scores(spark, root, "score", per_folder=True, keep=("asr", "st")).drop("system")
 
 
+@query(f"""WITH {v.MANIFEST}
+  SELECT doc_id, path, sentence, suffix, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM manifest""")
+def manifest_ranges(spark, sf):
+    """Files of quoted cells with line breaks, each read by many tasks."""
+    root = new_folder(spark)
+    v.manifest(spark, sf).select("doc_id", "path", "sentence", "suffix", "lang").repartitionByRange(
+        "doc_id").sortWithinPartitions("doc_id").write.options(
+        sep="\t", header="true", escape='"', ignoreLeadingWhiteSpace="false",
+        ignoreTrailingWhiteSpace="false").csv(f"{root}/all.tsv")
+    table = scan_manifests(spark, root, "all.tsv", range_bytes=1 << 16)
+    return table.select(F.col("doc_id").cast("bigint").alias("doc_id"), "path", "sentence", "suffix", "lang", "pos")
+
+
+FILE_SLICES = "click[10:2000]+view+purchase[-1000:]"
+
+
+@query("""WITH numbered AS (SELECT event_type AS split, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS p,
+    count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+  chosen AS (SELECT * FROM numbered WHERE split = 'view' OR (split = 'click' AND p BETWEEN 10 AND 1999) OR (split = 'purchase' AND p >= n - 1000))
+  SELECT split, row_number() OVER (ORDER BY CASE split WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, p) - 1 AS pos, value FROM chosen""")
+def file_slices(spark, sf):
+    """Slices of score files by a kept index; only their ranges are opened."""
+    root = new_folder(spark)
+    v.events(spark, sf).select("event_type", "event_id", F.col("value").alias("score")).repartitionByRange(
+        "event_type", "event_id").sortWithinPartitions("event_type", "event_id").drop("event_id").write.options(
+        sep="\t", header="true").partitionBy("event_type").csv(f"{root}/scores")
+    keep_index(listed(spark, f"{root}/scores"), f"{root}/index", per_folder=True, quoted=False, range_bytes=1 << 14)
+    found = [r[0] for r in spark.read.parquet(f"{root}/index").select("system").distinct().collect()]
+    systems = {s.rsplit("event_type=", 1)[1]: s for s in found}
+    return select_scores(spark, f"{root}/index", FILE_SLICES, ["score"], systems)
+
+
 @query("""SELECT vec_id AS st, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS value,
     CASE WHEN vec_id % 3 <> 0 THEN CAST(vec_id AS DOUBLE) / 8 END AS system_score
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metaeval.functions.text import decoded_path
 from metaeval.schemas import SCORE_ARRAY
-from metaeval.sources.text_files import located, number_or_error, number_rows, read_tsv
+from metaeval.sources.records import scan_records, select_records
+from metaeval.sources.text_files import CELLS, located, number_or_error, number_rows, read_tsv
 
 
 def file_name(path: Column) -> Column:
@@ -35,6 +36,18 @@ def scan_scores(spark: SparkSession, paths, column: str = "score", per_folder: b
         "system", *keep, "pos", "value")
 
 
+def scan_indexed_scores(spark: SparkSession, index: str, columns: list[str], column: str = "score") -> DataFrame:
+    """As ``scan_scores``, by a kept index: nothing is counted, and a filter on ``pos`` or ``system`` opens only the ranges it needs."""
+    value = number_or_error(F.col(f"`{column}`")).alias("value")
+    return scan_records(spark, index, columns, CELLS).select(F.col("_system").alias("system"), F.col("_pos").alias("pos"), value)
+
+
+def select_scores(spark: SparkSession, index: str, expression: str, columns: list[str], systems: dict[str, str], column: str = "score") -> DataFrame:
+    """``split``, ``pos``, ``value`` of a split expression (``a[2:5]+b``) over indexed score files."""
+    rows = select_records(spark, index, expression, columns, CELLS, systems)
+    return rows.select("split", "pos", number_or_error(F.col(f"`{column}`")).alias("value"))
+
+
 def explode_scores(systems: DataFrame, keys, scores: str = "scores") -> DataFrame:
     """One row per entry of each system's score array, numbered from 0."""
     return systems.select(*keys, F.posexplode(scores).alias("pos", "value")).select(

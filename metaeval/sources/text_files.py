@@ -12,6 +12,7 @@ from metaeval.operators.lookup import attach
 from metaeval.operators.ordering import running_totals
 from metaeval.schemas import MANIFEST, MANIFEST_TYPES, MISSING
 from metaeval.session import cut
+from metaeval.sources.records import RANGE_BYTES, listed, scan_records, temporary_index
 
 # What states a number: decimal, with or without exponent, or an infinity.
 NUMBER = r"\A[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI]nf(?:inity)?)\z"
@@ -102,29 +103,45 @@ def number_rows(rows: DataFrame, system: Column | None = None, pos: str = "pos",
         "_row", "_first", "_count", "_before", "_part", "_file", "_block")
 
 
+#: How the cells of a record are parsed.
+CELLS = {k: v for k, v in _TSV.items() if k not in ("header", "enforceSchema")}
+
+
 def scan_manifests(spark: SparkSession, root: str, manifest_files: str,
-                   schema: StructType = MANIFEST, multi_line: bool = True) -> DataFrame:
+                   schema: StructType = MANIFEST, multi_line: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A comma-separated list of TSV and JSON-lines manifests (or globs) as one table.
 
     Rows are numbered in the written order of the list. Columns a file lacks are
     NULL; columns beyond ``schema`` pass through, from JSON with the type that all
-    of their values have. A cell of a number column that is none raises.
+    of their values have. A cell of a number column that is none raises. With
+    ``multi_line`` quoted cells may hold line breaks; large files are still read by
+    many tasks, a range each.
     """
-    table = None
-    for part, name in enumerate(manifest_files.split(",")):
+    table, before = None, 0
+    names = manifest_files.split(",")
+    for part, name in enumerate(names):
         path = f"{root.rstrip('/')}/{name}"
+        total = None
         if name.endswith(".json") or name.endswith(".jsonl"):
             given = {f.name: f for f in schema.fields}
             found = spark.read.json(path).schema.fields
             wanted = StructType([StructField(f.name, given[f.name].dataType if f.name in given else f.dataType) for f in found]
                                 + [f for f in schema.fields if f.name not in {g.name for g in found}])
-            rows = located(spark.read.schema(wanted).option("mode", "FAILFAST").json(path), part)
+            rows = number_rows(located(spark.read.schema(wanted).option("mode", "FAILFAST").json(path)))
         else:
-            rows = located(read_tsv(spark, path, multi_line), part)
-            known = [c for c in rows.columns if not c.startswith("_")]
+            if multi_line:
+                index = temporary_index(listed(spark, path), per_folder=None, range_bytes=range_bytes)
+                total = spark.read.parquet(index).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+                rows = scan_records(spark, index, read_tsv(spark, path, True).columns, CELLS).drop("_system", "_file").withColumnRenamed("_pos", "pos")
+            else:
+                rows = number_rows(located(read_tsv(spark, path)))
             rows = rows.withColumns({
                 c: number_or_error(F.col(f"`{c}`"), MANIFEST_TYPES[c]) if c in MANIFEST_TYPES
-                else not_missing(F.col(f"`{c}`")) for c in known
+                else not_missing(F.col(f"`{c}`")) for c in rows.columns if c != "pos"
             })
+        if before:
+            rows = rows.withColumn("pos", F.col("pos") + before)
+        if part + 1 < len(names):
+            before += rows.count() if total is None else total
         table = rows if table is None else table.unionByName(rows, allowMissingColumns=True)
-    return number_rows(table)
+    return table
