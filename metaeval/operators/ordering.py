@@ -24,14 +24,18 @@ def group_key(by) -> Column:
 def with_positions(df: DataFrame, by=(), order=(), name: str = "pos") -> DataFrame:
     """Number the rows of every ``by`` group from 0 in the order of ``order``.
 
-    ``order`` (names or Columns) must not tie inside a group. Given names, only the
-    columns that decide the order are written out; all others are joined back by
-    them. Given Columns, whole rows are written: keep them narrow.
+    ``order`` (names or Columns) must not tie inside a group; ties of names raise.
+    Given names, only the columns that decide the order are written out; all others
+    are joined back by them. Given Columns, whole rows are written: keep them narrow.
     """
     names = [*by, *order] if all(isinstance(o, str) for o in order) else df.columns
     if any(c not in names for c in df.columns):
         keys = {c: f"_k{i}" for i, c in enumerate(dict.fromkeys(names))}
         placed = with_positions(df.select(*keys), by, order, name).withColumnsRenamed(keys)
+        # rows that share a key would meet each other in the join
+        shared = F.raise_error(F.concat(F.lit("rows share a place in the order: "), F.to_json(F.struct(*keys.values())))).cast("bigint")
+        placed = placed.groupBy(*keys.values()).agg(F.min(name).alias("_at"), F.count(F.lit(1)).alias("_rows")).select(
+            *keys.values(), F.when(F.col("_rows") == 1, F.col("_at")).otherwise(shared).alias(name))
         same = F.lit(True)
         for mine, other in keys.items():
             same = same & F.col(f"l.`{mine}`").eqNullSafe(F.col(f"r.{other}"))

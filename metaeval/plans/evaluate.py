@@ -8,12 +8,13 @@ from metaeval.operators.batches import BATCH, encoded_fillers, pad_batches, with
 from metaeval.operators.correlation import correlation_report
 from metaeval.operators.ordering import with_positions
 from metaeval.operators.predictions import parse_predictions
-from metaeval.operators.scoring import score
+from metaeval.operators.scoring import UNIT, score, score_resumable, with_units
 from metaeval.operators.splits import require_rows
 from metaeval.operators.tokens import PAD_ID
 from metaeval.sinks.writers import (
     one_line_undone, prediction_name, record_name, write_predictions, write_record,
 )
+from metaeval.sources.inventory import opens, working_folder
 from metaeval.sources.text_files import located, number_rows
 
 # The labels of a report, and those where lower is better.
@@ -49,28 +50,48 @@ def report(rows: DataFrame, prediction: str = "pred_strings", run=()) -> tuple:
     return (parsed if run else parsed.drop("run")), summary
 
 
+#: About so many rows are scored before their predictions are kept.
+UNIT_ROWS = 1024
+
+
 def evaluate(rows: DataFrame, load_scorer, output: str, batch_size: int = 1,
              prefix: str = "qe", manifest_files: str | None = None, split: str = "test",
              config: str = "", output_name: str | None = None, arguments: dict | None = None,
-             pad_id: int = PAD_ID) -> DataFrame:
+             pad_id: int = PAD_ID, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """Score encoded rows and write predictions and the result record below ``output``.
 
-    Scored rows are written, without their arrays, before anything else reads
-    them, so that neither a lost executor nor the report runs the scorer again.
-    Returns the summary.
+    Rows are told apart by their position, and by their split where positions are
+    those inside a split; rows that share both raise. Predictions are kept every
+    ``unit_rows`` rows or so, where tasks can open files: after a lost executor, or when a
+    run that failed is started again, the scorer sees only the rest. Scored rows are written, without their arrays,
+    before anything else reads them. Returns the summary.
     """
     spark = rows.sparkSession
     rows = require_rows(rows, "the test set has no rows")
     fillers = encoded_fillers(pad_id)
+    key = row_key(rows)
     # a filter may have left gaps in the positions; batches are cut from the rows there are
-    dense = with_positions(rows, (), ["pos"], "_dense")
-    batched = with_batches(dense, batch_size, "_dense").drop("_dense")
-    scored = score(pad_batches(batched, fillers), load_scorer, batch_size)
+    dense = with_positions(rows, (), key, "_dense")
+    batched = with_units(with_batches(dense, batch_size, "_dense"), max(1, unit_rows // batch_size))
     name = prediction_name(prefix, manifest_files, split, config)
     path = f"{output}/{name}"
+    padded = pad_batches(batched, fillers, (UNIT,))
+    if opens(path, working_folder(spark)):
+        scored = score_resumable(padded, load_scorer, f"{path}.units", ["_dense"], batch_size)
+    else:
+        scored = score(padded.drop(UNIT), load_scorer, batch_size)
     scored.drop(*fillers, BATCH).write.mode("overwrite").parquet(f"{path}.rows")
     kept = spark.read.parquet(f"{path}.rows")
-    write_predictions(kept, path)
+    write_predictions(kept, path, "_dense")
+    kept = kept.drop("_dense")
     parsed, summary = report(kept)
     write_record(summary, parsed, f"{output}/{record_name(name, output_name)}", arguments)
     return summary
+
+
+def row_key(rows: DataFrame) -> list[str]:
+    """The columns that number the rows of a run: the position, or, where splits share positions, the split and it."""
+    if "split" not in rows.columns:
+        return ["pos"]
+    shared = rows.groupBy("pos").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return ["pos"] if shared.isEmpty() else ["split", "pos"]

@@ -34,11 +34,11 @@ from metaeval.plans.cascade import (
     cascade_pairs, correlate_grid, grid_table, Grid, metric_is_lower_better, qe_is_lower_better,
     metric_path, qe_path, run_cascade,
 )
-from metaeval.plans.evaluate import read_predictions, report
+from metaeval.plans.evaluate import evaluate, read_predictions, report
 from metaeval.plans.prepare import PrepareOptions, prepare_rows
 from metaeval.session import delete_at_exit, shared_dir
 from metaeval.sinks.audio import flac_bytes, mpeg_bytes, opus_bytes, wav_bytes
-from metaeval.sinks.writers import cached_table, write_predictions, write_record
+from metaeval.sinks.writers import cached_table, prediction_name, record_name, write_predictions, write_record
 from metaeval.sources.inventory import missing_files, probe_audio, write_files
 from metaeval.sources.records import keep_index, listed
 from metaeval.sources.scores import scan_score_arrays, scan_scores, select_scores
@@ -963,4 +963,24 @@ def batch_score_stub(spark, sf):
     return score(rows, load_stub, batch_size=8)
 
 
+_SPLIT_ROWS = """split_rows AS (SELECT lang AS split, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, doc_id,
+    '0.' || lpad(CAST(n_chars % 1000 AS VARCHAR), 3, '0') || ' ' AS pred_strings, (n_chars % 1000) / 1000.0 AS pred, doc_id * 7 % 97 AS x
+  FROM documents)"""
+
+
+@query(f"""WITH {_SPLIT_ROWS}, c AS ({spearman_sql('split_rows', 'pred', 'x')})
+  SELECT split, pos, doc_id, pred_strings, CAST(pred AS DOUBLE) AS pred_strings_float, (SELECT spearman FROM c) AS corr_xcomet FROM split_rows""")
+def evaluate_splits(spark, sf):
+    """Several splits, each with positions of its own, scored in one run: every row once."""
+    output = new_folder(spark)
+    rows = with_positions(v.table(spark, sf, "documents").select(F.col("lang").alias("split"), "doc_id", "n_chars"), ["split"], ["doc_id"])
+    ids = F.sequence(F.lit(1), (F.col("n_chars") % 7 + 1).cast("int"))
+    label = (F.col("doc_id") * 7 % 97).cast("double").alias("metric_score_xcomet-xl")
+    rows = rows.select("*", label, *[ids.alias(f"{s}{c}") for s in ("", "suffix_") for c in ("input_ids", "attention_mask", "labels")])
+    summary = evaluate(rows, load_stub, output, batch_size=8, split="all", config="x")
+    found = spark.read.parquet(f"{output}/{record_name(prediction_name('qe', split='all', config='x'))}/rows")
+    return found.select("split", "pos", "doc_id", "pred_strings", "pred_strings_float").withColumn(
+        "corr_xcomet", F.lit(summary.select(rounded("corr_xcomet")).first()[0]))
+
+
 assert assistant_tail(True).split() == ["<|im_end|>", "<|im_start|>assistant"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -114,6 +115,17 @@ def probe_readable(manifest: DataFrame, path: str = "path", attempts: int = 3) -
     return probe_audio(manifest, path, attempts=attempts).drop("audio")
 
 
+# Names of file systems that tasks can open by themselves, and what some of them are called elsewhere.
+OPENED = {"file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss"}
+OTHER_NAMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def opens(name: str, home: str) -> bool:
+    """Whether tasks can open files of that address without Spark's readers."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", name if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", name) else home)
+    return scheme is not None and OTHER_NAMES.get(scheme[1], scheme[1]) in OPENED
+
+
 def located_file(name: str, home: str):
     """The file system of an address, and the place in it; ``home`` resolves what lacks a scheme."""
     from pyarrow import fs
@@ -127,7 +139,7 @@ def located_file(name: str, home: str):
         rest = host + (name if name.startswith("/") else f"/{folder.rstrip('/')}/{name}")
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return fs.FileSystem.from_uri(f"{OTHER_NAMES.get(scheme, scheme)}://{quote(rest)}")
 
 
 def audio_of(name: str, home: str, attempts: int) -> Audio | None:

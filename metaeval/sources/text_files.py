@@ -12,6 +12,7 @@ from metaeval.operators.lookup import attach
 from metaeval.operators.ordering import running_totals
 from metaeval.schemas import MANIFEST, MANIFEST_TYPES, MISSING
 from metaeval.session import cut
+from metaeval.sources.inventory import opens, working_folder
 from metaeval.sources.records import RANGE_BYTES, listed, scan_records, temporary_index
 
 # What states a number: decimal, with or without exponent, or an infinity.
@@ -115,7 +116,8 @@ def scan_manifests(spark: SparkSession, root: str, manifest_files: str,
     NULL; columns beyond ``schema`` pass through, from JSON with the type that all
     of their values have. A cell of a number column that is none raises. With
     ``multi_line`` quoted cells may hold line breaks; large files are still read by
-    many tasks, a range each.
+    many tasks, a range each, if they lie where tasks can open files; elsewhere a file
+    with such cells is read by one task.
     """
     table, before = None, 0
     names = manifest_files.split(",")
@@ -129,12 +131,12 @@ def scan_manifests(spark: SparkSession, root: str, manifest_files: str,
                                 + [f for f in schema.fields if f.name not in {g.name for g in found}])
             rows = number_rows(located(spark.read.schema(wanted).option("mode", "FAILFAST").json(path)))
         else:
-            if multi_line:
+            if multi_line and opens(path, working_folder(spark)):
                 index = temporary_index(listed(spark, path), per_folder=None, range_bytes=range_bytes)
                 total = spark.read.parquet(index).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
                 rows = scan_records(spark, index, read_tsv(spark, path, True).columns, CELLS).drop("_system", "_file").withColumnRenamed("_pos", "pos")
             else:
-                rows = number_rows(located(read_tsv(spark, path)))
+                rows = number_rows(located(read_tsv(spark, path, multi_line)))
             rows = rows.withColumns({
                 c: number_or_error(F.col(f"`{c}`"), MANIFEST_TYPES[c]) if c in MANIFEST_TYPES
                 else not_missing(F.col(f"`{c}`")) for c in rows.columns if c != "pos"
