@@ -104,7 +104,7 @@ def preprocess(rows: DataFrame, vocabulary: DataFrame | None = None,
 def load_manifests(spark: SparkSession, root: str, manifest_files: str,
                    options: PrepareOptions = PrepareOptions(), tokenizer: str = "whitespace",
                    vocabulary: DataFrame | None = None, reuse: bool = True) -> DataFrame:
-    """Encoded rows of local manifests, kept below ``root`` and reused on request."""
+    """Encoded rows of local manifests, kept below ``root`` and reused as long as the manifests stay as they are."""
     wanted = char_class(options.chars_to_ignore)
     others = "-".join([f"{k}={v}" for k, v in sorted(asdict(options).items())] + [manifest_files])
     if vocabulary is not None:
@@ -119,7 +119,9 @@ def load_manifests(spark: SparkSession, root: str, manifest_files: str,
 
     if not options.from_file:
         return build()
-    return cached_table(spark, root, key.replace(",", "_"), build, reuse)
+    paths = [f"{root.rstrip('/')}/{name}" for name in manifest_files.split(",")]
+    inputs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime")
+    return cached_table(spark, root, key.replace(",", "_"), build, reuse, inputs)
 
 
 def load_split(table: DataFrame, split: str, base_path: str | None = None, head: int = -1,

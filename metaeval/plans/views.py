@@ -126,6 +126,7 @@ scores AS (
     value AS qe, CASE WHEN event_id % 53 <> 0 THEN k END AS metric
   FROM ev)"""
 
+# Names of models and systems, as files are named by them.
 QE_MODELS = ("Unbabel/XCOMET-XL", "google/metricx-23-xl-v2p0", "blaser_2_0_qe")
 METRIC_MODELS = ("Unbabel/XCOMET-XL", "google/metricx-23-xl-v2p0")
 ASR_SYSTEMS = ("gold", "openai_whisper-large-v3")

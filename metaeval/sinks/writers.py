@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,12 +73,53 @@ def write_record(summary: DataFrame, rows: DataFrame, path: str, arguments: dict
 
 
 def cached_table(spark: SparkSession, root: str, key: str, build: Callable[[], DataFrame],
-                 reuse: bool = True) -> DataFrame:
+                 reuse: bool = True, inputs: DataFrame | None = None) -> DataFrame:
     """The table kept under ``key``, built and kept first if there is none.
 
-    Only a table whose writing finished counts as kept.
+    Every build writes a folder of its own; then one small file names it as the kept
+    one, beside the fingerprint of its ``inputs`` (``path``, ``length``, ``modificationTime``).
+    So a table counts as kept only when its writing has finished, a reader of the one
+    before goes on undisturbed, two writers do not mix, and files that are other than
+    then, or more, or fewer, lead to a new build.
     """
-    path = f"{root.rstrip('/')}/{key}"
-    if not (reuse and path_exists(spark, f"{path}/_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    place = f"{root.rstrip('/')}/{key}"
+    named = f"{place}/kept.json"
+    wanted = None if inputs is None else fingerprint(inputs)
+    kept = committed(spark, named)
+    if not (reuse and kept and kept["inputs"] == wanted):
+        kept = {"folder": f"table-{uuid.uuid4().hex}", "inputs": wanted}
+        build().write.parquet(f"{place}/{kept['folder']}")
+        commit(spark, named, kept)
+    return spark.read.parquet(f"{place}/{kept['folder']}")
+
+
+def fingerprint(files: DataFrame) -> str:
+    """What tells one state of some files from another: their names, lengths and times, in any order."""
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    count, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(one), F.lit(0).cast("decimal(38,0)"))).first()
+    return f"{count}:{total}"
+
+
+def commit(spark: SparkSession, place: str, content: dict) -> None:
+    """Write a small JSON file so that it is there as a whole, or as it was before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (place, f"{place}.{uuid.uuid4().hex}"))
+    out = aside.getFileSystem(conf).create(aside, False)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    whole = path.getFileSystem(conf).makeQualified(path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf).rename(path.getFileSystem(conf).makeQualified(aside), whole, how)
+
+
+def committed(spark: SparkSession, place: str) -> dict | None:
+    """The content of a committed file, or None if there is none."""
+    if not path_exists(spark, place):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()

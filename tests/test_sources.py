@@ -140,6 +140,49 @@ def test_cache_is_reused_only_when_asked(spark, tmp_path):
     assert built == [3, 7]
 
 
+def test_changed_inputs_lead_to_a_new_build(spark, tmp_path):
+    built, root = [], str(tmp_path / "kept")
+
+    def files():
+        return list_inputs(spark, str(tmp_path / "in"))
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tsv").write_text("x\n1\n")
+    first = cached_table(spark, root, "k", build, inputs=files())
+    assert first.count() == 1 and cached_table(spark, root, "k", build, inputs=files()).count() == 1
+    (tmp_path / "in" / "a.tsv").write_text("x\n1\n2\n")
+    assert cached_table(spark, root, "k", build, inputs=files()).count() == 2
+    (tmp_path / "in" / "b.tsv").write_text("x\n")
+    assert cached_table(spark, root, "k", build, inputs=files()).count() == 3 and len(built) == 3
+    # whoever read the first table goes on reading it
+    assert first.count() == 1
+
+
+def list_inputs(spark, path):
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+
+
+def test_a_build_that_fails_leaves_the_kept_table(spark, tmp_path):
+    root = str(tmp_path)
+    assert cached_table(spark, root, "k", lambda: spark.range(3)).count() == 3
+    with pytest.raises(Exception, match="broken"):
+        cached_table(spark, root, "k", lambda: spark.range(9).select(F.raise_error(F.lit("broken")).alias("x")), reuse=False)
+    assert cached_table(spark, root, "k", lambda: spark.range(5)).count() == 3
+
+    # two writers at once: either of them is kept as a whole
+    def slow():
+        cached_table(spark, root, "k", lambda: spark.range(7), reuse=False)
+        return spark.range(11)
+
+    assert cached_table(spark, root, "k", slow, reuse=False).count() == 11
+    assert cached_table(spark, root, "k", lambda: spark.range(5)).count() == 11
+    assert [p.name for p in (tmp_path / "k").glob("kept.json*")] == ["kept.json"]
+
+
 def test_readable_audio(spark, tmp_path):
     good = tmp_path / "good.wav"
     with wave.open(str(good), "wb") as out:
