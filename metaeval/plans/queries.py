@@ -169,6 +169,29 @@ def score_array_explode(spark, sf):
     return found.select(F.regexp_extract("system", "/st=([0-9]+)/", 1).cast("bigint").alias("st"), "pos", "value", "system_score")
 
 
+@query("""SELECT label AS st, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS value,
+    CASE WHEN label % 3 <> 0 THEN CAST(label AS DOUBLE) / 8 END AS system_score
+  FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
+def score_list_ranges(spark, sf):
+    """Long lists, one element a line, each read by many tasks."""
+    root = new_folder(spark)
+    numbers = v.table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    first = numbers.groupBy("label").agg(F.min(F.struct("vec_id", "i")).alias("first"))
+    # a comma ahead of every element but the first; files are written line by line
+    lines = numbers.join(F.broadcast(first), "label").select(
+        "label", F.struct("vec_id", "i").alias("at"),
+        F.concat(F.when(F.struct("vec_id", "i") == F.col("first"), " ").otherwise(","), F.to_json(F.array("x")).substr(F.lit(2), F.length(F.to_json(F.array("x"))) - 2)).alias("line"))
+    place = lambda vec_id: F.struct(F.lit(vec_id).cast("long").alias("vec_id"), F.lit(0).alias("i")).alias("at")
+    score = F.when(F.col("label") % 3 != 0, (F.col("label").cast("double") / 8).cast("string")).otherwise("null")
+    ends = [first.select("label", place(-1), F.concat(F.lit('{"system_score": '), score, F.lit(', "scores": [')).alias("line")),
+            first.select("label", place((1 << 63) - 1), F.lit("]}").alias("line"))]
+    for end in ends:
+        lines = lines.unionByName(end)
+    lines.repartition("label").sortWithinPartitions("label", "at").select("line", F.col("label").alias("st")).write.partitionBy("st").text(root)
+    found = scan_score_arrays(spark, f"{root}/*/*.txt", 1 << 12, 1 << 14)
+    return found.select(F.regexp_extract("system", "/st=([0-9]+)/", 1).cast("int").alias("st"), "pos", "value", "system_score")
+
+
 FILES = f"""expected AS (
   SELECT DISTINCT 'qe/' || CASE WHEN contains(m, 'blaser') THEN 'qe-t2t.' ELSE 'qe.' END ||
     replace(m, '/', '_') || '.cas.A.' || a || '.T.' || source || '.' || 'set_' || lang || '.' ||

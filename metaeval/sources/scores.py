@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metaeval.functions.text import decoded_path
 from metaeval.schemas import SCORE_ARRAY
-from metaeval.sources.records import scan_records, select_records
-from metaeval.sources.text_files import CELLS, located, number_or_error, number_rows, read_tsv
+from metaeval.sources.records import listed, scan_records, select_records
+from metaeval.sources.score_lists import RANGE_BYTES, explode_lists
+from metaeval.sources.text_files import CELLS, literal_path, located, number_or_error, number_rows, read_tsv
 
 
 def file_name(path: Column) -> Column:
@@ -55,12 +56,24 @@ def explode_scores(systems: DataFrame, keys, scores: str = "scores") -> DataFram
         F.col("value").cast("double").alias("value"))
 
 
-def scan_score_arrays(spark: SparkSession, paths) -> DataFrame:
+def scan_score_arrays(spark: SparkSession, paths, whole_bytes: int = RANGE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Score objects in JSON files: ``system``, its stored ``system_score``, ``pos``, ``value``.
 
-    An object holds all scores of its system and is read as one row; a long table
-    (``scan_scores``) suits systems that do not fit a task.
+    A file of at most ``whole_bytes`` is read as one row. Of a larger one, the list is cut
+    into ranges that tasks read by themselves.
     """
+    files = listed(spark, paths)
+    large = files.filter(F.col("length") > whole_bytes)
+    if large.isEmpty():
+        return scan_whole_arrays(spark, paths)
+    # names only, as Spark's own listing holds them on the driver
+    small = [literal_path(r["path"]) for r in files.filter(F.col("length") <= whole_bytes).select("path").collect()]
+    found = explode_lists(large, range_bytes)
+    return scan_whole_arrays(spark, small).unionByName(found) if small else found
+
+
+def scan_whole_arrays(spark: SparkSession, paths) -> DataFrame:
+    """As ``scan_score_arrays``, every object in one line and read as one row."""
     objects = spark.read.schema(SCORE_ARRAY).option("mode", "FAILFAST").json(paths).withColumn(
         "system", decoded_path(F.col("_metadata.file_path")))
     return explode_scores(objects, ["system", "system_score"])
