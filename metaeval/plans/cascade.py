@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from metaeval.operators.alignment import align
 from metaeval.operators.correlation import oriented, spearman
 from metaeval.operators.splits import stack
-from metaeval.session import path_exists
+from metaeval.session import cut, path_exists
 from metaeval.sources.inventory import (
     cascade_name, direct_name, list_files, missing_files, relative_to, score_file,
 )
@@ -251,7 +251,8 @@ def run_cascade(spark: SparkSession, root: str, grids=PUBLISHED, folders=None, *
     # literal rows, as many as the configuration names
     grid = grid_table(spark, grids)
     files = check_files(spark, root, grid, folders)
-    vectors = read_vectors(spark, root, files)
+    # the checks, the QE side and the metric side read the written rows: every file is parsed once
+    vectors = cut(read_vectors(spark, root, files))
     means = check_vectors(grid, vectors, folders)
     vectors = vectors.drop("system_score")
     qe_keys = [*DATA, "qe_model", "asr", "st"]
