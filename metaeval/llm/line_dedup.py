@@ -6,8 +6,10 @@ every ``WINDOW`` neighbouring ones the least is a fingerprint, the first of equa
 Runs of ``GRAM + WINDOW - 1`` lines that are equal have the same fingerprint at the
 same place. So positions meet by fingerprint, are extended to both sides to the
 whole run, and each run is held against its first position, in the order of
-document id and line. Longer repeats are covered run by run. A line of
-``LONG_WORDS`` words or more is a run, and a fingerprint, by itself.
+document id and line. Longer repeats are covered run by run. A line, or two
+neighbouring ones, of ``LONG_WORDS`` words or more in all are a run, and a
+fingerprint, by themselves: so whatever repeats goes that has ``RUN`` lines or
+``LONG_WORDS`` words.
 
 Every line that a later occurrence of a run covers is deleted; the first
 occurrence stays. A run that a third of all documents hold costs one minimum,
@@ -34,11 +36,10 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 
 def sequence(text: Column) -> Column:
-    """The lines that hold a word: place among all lines, hash, whether it is long."""
+    """The lines that hold a word: place among all lines, hash, number of words."""
     lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
-        i.alias("i"), F.xxhash64(line).alias("h"), line.rlike(_WORD).alias("word"),
-        (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1).alias("long")))
-    return F.filter(lines, lambda x: x["word"])
+        i.alias("i"), F.xxhash64(line).alias("h"), F.regexp_count(line, F.lit(f"{_WORD}+")).alias("words")))
+    return F.filter(lines, lambda x: x["words"] > 0)
 
 
 def _runs(lines: Column) -> Column:
@@ -56,9 +57,17 @@ def _runs(lines: Column) -> Column:
         return F.struct(least.alias("print"), place.alias("place"), F.xxhash64(*hashes).alias("extended"), j.alias("line"), F.lit(RUN).alias("size"))
 
     many = F.when(n >= RUN, F.transform(F.sequence(F.lit(0), n - RUN), run)).otherwise(F.array())
-    alone = F.filter(F.transform(lines, lambda x, j: F.when(x["long"], F.struct(
-        x["h"].alias("print"), F.lit(-1).alias("place"), x["h"].alias("extended"), j.alias("line"), F.lit(1).alias("size")))), lambda x: x.isNotNull())
-    return F.concat(many, alone)
+    def few(size: int) -> Column:
+        """A line, or two, with enough words."""
+        def one(j: Column) -> Column:
+            words, name = F.get(lines, j)["words"], F.get(lines, j)["h"]
+            for k in range(1, size):
+                words, name = words + F.get(lines, j + k)["words"], F.xxhash64(name, F.get(lines, j + k)["h"])
+            return F.when(words >= LONG_WORDS, F.struct(name.alias("print"), F.lit(-size).alias("place"), name.alias("extended"), j.alias("line"), F.lit(size).alias("size")))
+
+        return F.when(n >= size, F.filter(F.transform(F.sequence(F.lit(0), n - size), one), lambda x: x.isNotNull())).otherwise(F.array())
+
+    return F.concat(many, *[few(size) for size in range(1, RUN)])
 
 
 def _keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -102,11 +111,12 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
 SQL = f"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
-seq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
-win AS (SELECT doc_id, j, line, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3 FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+seq AS (SELECT *, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+win AS (SELECT doc_id, j, line, words, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(words) OVER w AS words2 FROM seq WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
 runs AS (
   SELECT doc_id, j, {RUN} AS size, md5(line) || md5(line2) || md5(line3) AS run FROM win WHERE line3 IS NOT NULL
-  UNION ALL SELECT doc_id, j, 1, md5(line) FROM seq WHERE length(line) - length(replace(line, ' ', '')) >= {LONG_WORDS - 1}),
+  UNION ALL SELECT doc_id, j, 2, md5(line) || md5(line2) FROM win WHERE words + words2 >= {LONG_WORDS}
+  UNION ALL SELECT doc_id, j, 1, md5(line) FROM seq WHERE words >= {LONG_WORDS}),
 later AS (SELECT doc_id, j, size FROM runs QUALIFY row_number() OVER (PARTITION BY size, run ORDER BY doc_id, j) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(j, j + size)) AS j FROM later),
 kept AS (

@@ -1,8 +1,12 @@
+import re
+
 import compare
 
 from metaeval.llm import line_dedup as d
 from metaeval.llm.line_dedup import RUN
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 def brute_force(rows):
     """The text that stays of every different (id, text), in the order of the ids."""
@@ -16,9 +20,9 @@ def brute_force(rows):
         real = [i for i, line in enumerate(lines) if line.strip(" \t\n\x0b\x0c\r")]
         gone = set()
         for j in range(len(real)):
-            for size in (1, RUN):
+            for size in range(1, RUN + 1):
                 run = tuple(lines[i] for i in real[j:j + size])
-                if len(run) == size and (size == RUN or run[0].count(" ") >= d.LONG_WORDS - 1):
+                if len(run) == size and (size == RUN or sum(len(WORD.findall(line)) for line in run) >= d.LONG_WORDS):
                     if run in seen:
                         gone.update(real[j:j + size])
                     seen.add(run)
@@ -40,6 +44,16 @@ def test_runs_within_and_across_documents(spark):
     assert got[2] == "x\ny" and got[3] == "\nz" and got[4] == "a\nb" and got[5] == "r" and got[7] == "p" and got[8] == "" and got[9] == ""
 
 
+def test_passages_of_two_lines_and_other_blanks(spark):
+    one, two = " ".join(f"a{i}" for i in range(26)), " ".join(f"b{i}" for i in range(25))
+    tabs, short = "\t".join(f"c{i}" for i in range(50)), "  ".join(f"d{i}" for i in range(49))
+    texts = [f"x1\n{one}\n{two}\ny1", f"x2\n{one}\n\n{two}\ny2", f"{tabs}\nz1", f"z2\n{tabs}", f"{short}\nv1", f"v2\n{short}", f"{one}\nu1", f"{one}\nu2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in d.without_repeats(df).collect()}
+    assert got == {i: brute_force(list(enumerate(texts)))[i, t] for i, t in enumerate(texts)}
+    assert got[1] == "x2\n\ny2" and got[3] == "z2" and got[5] == texts[5] and got[7] == texts[7]
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     out = d.without_repeats(odd)
