@@ -15,7 +15,9 @@ Repeated rows are formatted each. Turns with equal numbers are put in the order
 role and text. Extra columns are kept by ``canonical`` and ``formatted``; their
 output columns replace input columns of the same name.
 
-A conversation is one record and one output row, so it has to fit a task.
+A conversation is one record and one output row, so it has to fit a task. Texts of
+any length are formatted where they come as columns (``as_records``); a JSON record
+too long for Spark's parser raises, since it may be valid.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ HEAD, HEAD_END, TURN_END = "<|", "|>\n", "<|end|>\n"
 LEARNED_ROLE = "assistant"
 #: In these layouts roles have names of their own.
 RENAMED = ("conversations",)
+#: Spark's parser refuses strings, and records, from about this length on.
+LONGEST_JSON = 20_000_000
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 #: Layout: field paths in order of their names, and where the turns are: either
@@ -76,8 +80,13 @@ def _from_fields(role: str, text: str, rename: bool):
     return lambda item: _turn(rename, item[role], item[text])
 
 
-def canonical(records: DataFrame, record_column: str = "record") -> DataFrame:
-    """The rows with ``fingerprint``, ``layout`` and ``turns``, an array of (role, text)."""
+def canonical(records: DataFrame, record_column: str = "record", texts_column: str | None = None) -> DataFrame:
+    """The rows with ``fingerprint``, ``layout`` and ``turns``, an array of (role, text).
+
+    With ``texts_column``, an array, the texts in the record are places in it: so texts of any
+    length stay out of the JSON. Valid records may be refused by the parser from ``LONGEST_JSON``
+    characters on; such a record raises.
+    """
     value = F.try_parse_json(record_column)
     rows = records.withColumn("fingerprint", fingerprint(field_paths(F.col(record_column))))
     layout = turns = None
@@ -89,8 +98,12 @@ def canonical(records: DataFrame, record_column: str = "record") -> DataFrame:
             found = F.transform(items, _from_fields(role, text, name in RENAMED))
         else:
             found = F.array(*(_turn(False, F.lit(role), F.try_variant_get(value, f"$.{field}", "string")) for role, field in where))
+        if texts_column is not None:
+            found = F.transform(found, lambda t: F.struct(t["role"], F.coalesce(F.get(texts_column, t["text"].cast("int")), F.lit("")).alias("text")))
         layout = F.when(is_it, name) if layout is None else layout.when(is_it, name)
         turns = F.when(is_it, found) if turns is None else turns.when(is_it, found)
+    refused = value.isNull() & (F.length(record_column) >= LONGEST_JSON)
+    layout = F.when(refused, F.raise_error(F.concat(F.lit("a record of so many characters cannot be parsed: "), F.length(record_column).cast("string")))).otherwise(layout)
     return rows.withColumn("layout", layout).withColumn("turns", turns)
 
 
@@ -141,20 +154,22 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def as_records(conversations: DataFrame) -> DataFrame:
-    """One JSON record per conversation, in the layout that its roles suggest.
+    """One JSON record per conversation, in the layout that its roles suggest, with places for texts, and its ``texts``.
 
     User and assistant become prompt and response, system, user and assistant an
     instruction with input and output; all others are message lists of either kind.
     """
     turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-    roles, text = F.array_join(F.transform("turns", lambda t: t["role"]), "\n"), lambda i: F.col("turns")[i]["text"]
+    # the record has a text's place, the texts stay beside it
+    roles, text = F.array_join(F.transform("turns", lambda t: t["role"]), "\n"), lambda i: F.lit(str(i))
+    messages = lambda role, content: F.transform("turns", lambda t, i: F.struct(t["role"].alias(role), i.cast("string").alias(content)))
     record = (
         F.when(roles == "user\nassistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
         .when(roles == "system\nuser\nassistant", F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("input"), text(2).alias("output"))))
-        .when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))))
-        .otherwise(F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("speaker"), t["text"])).alias("dialogue")))))
-    return turns.select("conv_id", record.alias("record"))
+        .when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(messages("role", "content").alias("messages"))))
+        .otherwise(F.to_json(F.struct(messages("speaker", "text").alias("dialogue")))))
+    return turns.select("conv_id", record.alias("record"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -188,4 +203,4 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     same = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(same).alias("text"))
-    return digests(formatted(canonical(as_records(rows.unionByName(probe)))))
+    return digests(formatted(canonical(as_records(rows.unionByName(probe)), texts_column="texts")))

@@ -1,7 +1,9 @@
+import hashlib
 import json
 import random
 
 import compare
+import pytest
 from pyspark.sql import functions as F
 
 from metaeval.llm import chat_format as c
@@ -57,6 +59,21 @@ def test_any_text_comes_back(spark):
 def test_conversations_with_nulls_ties_and_repeats(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 1, "assistant", None), (2, None, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r["conv_id"]: r for r in c.digests(c.formatted(c.canonical(c.as_records(df)))).collect()}
+    out = {r["conv_id"]: r for r in c.digests(c.formatted(c.canonical(c.as_records(df), texts_column="texts"))).collect()}
     assert out[1]["n_turns"] == 4 and out[None]["n_turns"] == 1 and out[2]["loss_chars"] == 1
-    assert c.digests(c.formatted(c.canonical(c.as_records(df.limit(0))))).count() == 0
+    assert c.digests(c.formatted(c.canonical(c.as_records(df.limit(0)), texts_column="texts"))).count() == 0
+
+
+def test_a_turn_beyond_the_parser(spark):
+    """A turn of 21 million characters is formatted like any other; a JSON record of that size raises."""
+    long = F.concat(F.repeat(F.lit("a<|b\\ "), 3_500_000), F.lit("é"))
+    df = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "assistant")], "conv_id long, turn long, role string").withColumn(
+        "text", F.when(F.col("conv_id") == 1, long).otherwise("x"))
+    rows = {r["conv_id"]: r for r in c.digests(c.formatted(c.canonical(c.as_records(df), texts_column="texts"))).collect()}
+    text = "a<|b\\ " * 3_500_000 + "é"
+    assert rows[1]["n_turns"] == 2 and rows[1]["loss_chars"] == len(text) and rows[2]["n_turns"] == 1
+    assert rows[1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert rows[1]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    whole = spark.range(1).select(F.to_json(F.struct(long.alias("prompt"), F.lit("y").alias("response"))).alias("record"))
+    with pytest.raises(Exception, match="cannot be parsed"):
+        c.canonical(whole).select("layout").collect()
