@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -33,7 +34,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from metaeval.llm import flat
 from metaeval.llm.registry import query
 
+#: Matches of the pattern, and half the pairs of tokens, that a task remembers; longer matches are not remembered.
 KNOWN = 300_000
+LONGEST_KNOWN = 64
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -55,7 +58,10 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        #: the next shorter token that a token begins with, -1 without one
+        self.shorter = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1) for token, rank in ranks.items()}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -69,12 +75,12 @@ class ByteBpe:
         return [self.ranks[p] for p in parts]
 
     def fit(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
+        found = self.fits.get(left << 32 | right)
         if found is None:
             if len(self.fits) >= 2 * KNOWN:
                 self.fits.clear()
             found = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.fits[left, right] = found
+            self.fits[left << 32 | right] = found
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -82,31 +88,30 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # tokens from each byte on, shorter ones first
-        for last, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            starting[last - size + 1].append((rank, last + 1))
+        n, size, shorter = len(piece), self.size, self.shorter
+        # of the tokens from each byte on the longest; all others are what it begins with
+        longest = array("i", [-1]) * n
+        for last, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
+            longest[last - length + 1] = rank
         closed = bytearray(n + 1)  # places from which nothing fits on
-        ids, ends, tries = [], [0], [len(starting[0])]
+        ids, ends, tries = [], [0], [longest[0]]
         while ends[-1] < n:
-            at = ends[-1]
-            tried = tries[-1]
-            options = starting[at]
-            while tried:
-                tried -= 1
-                rank, end = options[tried]
+            at, rank = ends[-1], tries[-1]
+            while rank >= 0:
+                end = at + size[rank]
                 if not closed[end] and (not ids or self.fit(ids[-1], rank)):
                     break
+                rank = shorter[rank]
             else:
                 closed[at] = 1
                 tries.pop()
                 ends.pop()
                 ids.pop()
                 continue
-            tries[-1] = tried
+            tries[-1] = shorter[rank]
             ids.append(rank)
             ends.append(end)
-            tries.append(len(starting[end]) if end < n else 0)
+            tries.append(longest[end] if end < n else -1)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -117,8 +122,13 @@ class ByteBpe:
             if len(known) + len(new) > KNOWN:
                 known.clear()
                 new = set(pieces)
+            once = {}
             for piece in new:
-                known[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                # a match of the pattern may be as long as a text: long ones are not kept
+                keep = known if len(piece) <= LONGEST_KNOWN else once
+                keep[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+            if once:
+                return b"".join(once.get(piece) or known[piece] for piece in pieces)
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
@@ -134,12 +144,15 @@ def _encoder(documents: DataFrame, path: str, pattern: str) -> Callable[[], Byte
 
 def encode_documents(documents: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
                      text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """The documents with their ids as an array of integers."""
+    """The documents with their ids as an array of integers, in place of a column of that name."""
     flat.small_batches(documents.sparkSession)
     make = _encoder(documents, path or public_tokenizers.path(RANKS), pattern)
+    names = [c for c in documents.columns if c != ids_column]
+    documents = documents.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*documents.schema, T.StructField(ids_column, T.ArrayType(T.IntegerType()))])
-    at = documents.columns.index(text_column)
+    at = names.index(text_column)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
         for batch in batches:
@@ -152,12 +165,15 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
 
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
                      ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
-    """The rows with the bytes of their ids; null ids decode to no bytes."""
+    """The rows with the bytes of their ids, in place of a column of that name; null ids decode to no bytes."""
     flat.small_batches(encoded.sparkSession)
     make = _encoder(encoded, path or public_tokenizers.path(RANKS), pattern)
+    names = [c for c in encoded.columns if c != bytes_column]
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*encoded.schema, T.StructField(bytes_column, T.BinaryType())])
-    at = encoded.columns.index(ids_column)
+    at = names.index(ids_column)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
         for batch in batches:
@@ -179,6 +195,7 @@ def encoding_digests(documents: DataFrame, path: str | None = None, pattern: str
     schema = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
                            T.StructField("decoded_sha256", T.StringType())])
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
         for batch in batches:

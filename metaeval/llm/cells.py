@@ -42,6 +42,7 @@ def frequent_slots(rows: DataFrame, hashes: Callable, thresholds: Sequence[float
             blobs.append(np.ascontiguousarray(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "cells"])
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:

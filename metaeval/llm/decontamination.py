@@ -110,6 +110,7 @@ def fingerprints(rows: DataFrame, bitmap: np.ndarray | None, short: list[int], b
                 flat.lists(pa.array(at - first_word[row[at]] if len(at) else at), lengths),
                 flat.lists(pa.array(size), lengths), flat.lists(flat.signed(around.reshape(-1)), lengths * CONTEXT)]
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in flat.pieces(batch.column("text")):
@@ -132,6 +133,7 @@ def _extended(pairs: DataFrame) -> DataFrame:
     def table(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXT)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = SPAN - GRAM
         for batch in batches:

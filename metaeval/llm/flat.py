@@ -8,7 +8,10 @@ odd number modulo 2^64, then mixed.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from metaeval.session import shared_dir
+from metaeval.session import delete_at_exit, shared_dir
 
 PIECE_BYTES = 2 << 20
 BATCH_BYTES = "8m"
@@ -42,6 +45,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def tidy(run):
+    """A task's function of batches, after which its worker gives the memory back.
+
+    Workers are used again by later tasks and other jobs. What a task took and freed would stay
+    with its worker, beside what the executor's other workers hold.
+    """
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if len(_powers[0]) > PIECE_BYTES + 1:
+                _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+    return inner
+
+
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, bytes and offsets of pieces of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -163,15 +186,43 @@ def written(df: DataFrame, wide: bool = False) -> DataFrame:
     """Cut lineage: the rows, written as a table to the shared folder and read again.
 
     Columnar files take a fraction of the room that checkpointed rows take. The
-    folder goes when the driver ends.
+    folder goes when the driver ends, or with ``delete_tables`` before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    before = spark.conf.get(CLEANED, "false")
+    # the rows are read from the table from now on: nothing needs the shuffles behind them
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    delete_at_exit(spark, path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    _made.append(path)
+    return table
+
+
+#: Spark deletes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[str] = []
+
+
+def tables_made() -> int:
+    """How many tables have been written so far."""
+    return len(_made)
+
+
+def delete_tables(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables written since then that nothing will read any more: all but those ``kept``."""
+    stay = {table.written_to for table in kept}
+    for path in _made[since:]:
+        if path not in stay:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made[since:] = [path for path in _made[since:] if path in stay]
 
 
 def release(spark: SparkSession) -> None:

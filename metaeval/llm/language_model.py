@@ -83,6 +83,7 @@ def _counted(rows: DataFrame, orders: range) -> DataFrame:
         total = np.bincount(at, n, len(unique)).astype(np.int64)
         return pa.RecordBatch.from_arrays([flat.signed(unique), flat.signed(context[first]), pa.array(size[first]), pa.array(total)], names=names)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
         for batch in batches:
@@ -224,6 +225,7 @@ def _bits_of_segments(rows: DataFrame) -> int:
 def _asked(pieces: DataFrame, bits_of_segments: int) -> DataFrame:
     """segment, piece, and of the piece's different keys in that segment: their steps, and their counts in training rows."""
 
+    @flat.tidy
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, held_out, lengths, data in zip(*(batch.column(c) for c in ("piece", "held_out", "lengths", "data"))):
@@ -265,6 +267,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("id", T.ArrayType(rows.schema["id"].dataType)),
                            T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
 
+    @flat.tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:

@@ -79,6 +79,7 @@ def _over_sets(rows: DataFrame, schema: T.StructType, handle: Callable) -> DataF
     """``handle(state, ids, sets)`` yields record batches; ``state`` is a dict of the task, ``ids`` is None at the end."""
     flat.small_batches(rows.sparkSession)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
@@ -133,6 +134,7 @@ def _shared_tokens(sets: DataFrame) -> DataFrame:
     schema = "token long, sig long, n long, pos int, leader long, leader_n long, leader_pos int"
     out_names = [c.split()[0] for c in schema.split(", ")]
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = leader = None  # the last row, not yet known to be shared; the first row of its token
         for batch in batches:
@@ -195,6 +197,7 @@ def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
             if ok.any():
                 yield np.full(int(ok.sum()), sig[k]), sig[rest][ok]
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, out, size = None, set(), [], 0
         names = ["token", "label", "sig", "n", "pos"]
@@ -289,6 +292,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[byte
     left = sets.select(F.col("sig").alias("a"), F.col(column).alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col(column).alias("y"))
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]

@@ -125,6 +125,7 @@ def measured(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     schema = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in (*COUNTS, "pattern"))])
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in flat.pieces(batch.column("text")):
@@ -199,6 +200,7 @@ def keep_good(documents: DataFrame, text_column: str = "text") -> DataFrame:
     flat.small_batches(documents.sparkSession)
     at = documents.columns.index(text_column)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in flat.pieces(batch.column(at)):

@@ -79,7 +79,8 @@ def find_runs(data: np.ndarray, offsets: np.ndarray, match: int = MATCH, gram: i
     row, first, windows = row[some], edges[some], (end - edges)[some]
     last_place = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     anchor = (last_place - (least[first] & last_place)).astype(np.int64)
-    return row, first, windows, hashes[anchor], flat.span_hashes(sums, first, first + windows + match - 1)
+    # least hashes lie close together: mixed once more, they spread over bitmaps and cells
+    return row, first, windows, flat.mixed(hashes[anchor]), flat.span_hashes(sums, first, first + windows + match - 1)
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -260,6 +261,7 @@ def _runs_of(rows: DataFrame, wanted) -> DataFrame:
     """id, key, first window, number of windows, anchor and context of the runs whose anchor is in the bitmap."""
     schema = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("key", "first", "windows", "anchor", "context"))])
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in flat.pieces(batch.column("text")):
@@ -274,7 +276,8 @@ def _runs_of(rows: DataFrame, wanted) -> DataFrame:
 
 
 def _contexts_of(rows: DataFrame, wanted) -> DataFrame:
-    """anchor, context, windows and bytes of the runs whose anchor is in the bitmap; a task gives each context once."""
+    """anchor, context, windows and bytes of the runs whose anchor is in the bitmap; a task gives each context once, several may give the same."""
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -291,8 +294,7 @@ def _contexts_of(rows: DataFrame, wanted) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([flat.signed(anchor[at]), flat.signed(context[at]), pa.array(windows[at]), pa.array([b for _, b in out], pa.binary())],
                                                      names=["anchor", "context", "windows", "bytes"])
 
-    found = rows.mapInArrow(run, "anchor long, context long, windows long, bytes binary")
-    return found.groupBy("anchor", "context").agg(F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    return rows.mapInArrow(run, "anchor long, context long, windows long, bytes binary")
 
 
 def repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -308,16 +310,23 @@ def repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     total = several.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     wanted = spark.sparkContext.broadcast(bits.of_hashes(several, "anchor", BITMAP_BITS))
-    contexts = _contexts_of(rows, wanted).join(several.select("anchor", "size"), "anchor")
-    parts = F.ceil(F.col("size") / SHARD_BYTES)
-    part = F.pmod(F.xxhash64("context"), parts)
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    small = contexts.filter(parts <= 1).select("anchor", "context", "windows", "bytes", F.lit(0).alias("side"), F.lit(True).alias("alone"),
-                                               F.lit(0).cast("long").alias("whole"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("i"), F.lit(-1).cast("long").alias("j"))
-    large = contexts.filter(parts > 1).select("anchor", "context", "windows", "bytes", part.alias("own"), other.alias("other"))
-    large = large.select("anchor", "context", "windows", "bytes", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") == F.col("other")).alias("alone"),
-                         F.col("anchor").alias("whole"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    some = small.unionByName(large).groupBy("whole", "i", "j").applyInPandas(_shard, "anchor long, context long, first long, end long")
+    # anchors of more than one shard are fewer than there are shards; an anchor that only passed the bitmap has nothing to meet
+    large = flat.written(several.filter(F.col("size") > SHARD_BYTES).select("anchor", "size"))
+    contexts = _contexts_of(rows, wanted)
+    contexts = contexts.withColumn("size", F.lit(0)) if large.isEmpty() else contexts.join(large, "anchor", "left")
+    last = F.greatest(F.ceil(F.col("size") / SHARD_BYTES) - 1, F.lit(0)).cast("long")
+    part = F.pmod(F.xxhash64("context"), last + 1)
+    dealt = contexts.select("anchor", "context", "windows", "bytes", last.alias("last"), part.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    alone, single = F.col("own") == F.col("other"), F.col("last") == 0
+    dealt = dealt.select(
+        "anchor", "context", "windows", "bytes", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), alone.alias("alone"),
+        F.when(single, 0).otherwise(F.col("anchor")).alias("whole"),
+        F.when(single, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.least("own", "other")).alias("i"),
+        F.when(single, -1).otherwise(F.greatest("own", "other")).alias("j"))
+    # one shuffle: what tasks gave more than once is dropped where the shard is put together
+    shard = ["whole", "i", "j"]
+    dealt = dealt.repartition(*shard).groupBy(*shard, "side", "alone", "anchor", "context").agg(F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    some = dealt.groupBy(*shard).applyInPandas(_shard, "anchor long, context long, first long, end long")
     whole = counts.filter("n > 1").select("anchor", "context", F.lit(0).cast("long").alias("first"), F.col("windows").alias("end"))
     once = counts.filter("n = 1").select("anchor", "context")
     hits = whole.unionByName(some.join(once, ["anchor", "context"], "left_semi"))
@@ -329,8 +338,10 @@ def repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 def _affected(documents: DataFrame, id_column: str, text_column: str):
     """Rows (id, key, text) without any repeat, and those with one beside its ranges."""
     spark = documents.sparkSession
+    before = flat.tables_made()
     ranges = flat.written(repeats(documents, id_column, text_column).distinct().groupBy("id", "key").agg(
         F.array_sort(F.collect_list(F.struct("first", "end"))).alias("ranges")))
+    flat.delete_tables(spark, before, ranges)
     named = spark.sparkContext.broadcast(bits.of_hashes(ranges, "key", BITMAP_BITS))
     maybe = F.pandas_udf(lambda keys: pd.Series(bits.has(named.value, keys.to_numpy(np.int64).view(np.uint64), BITMAP_BITS)), "boolean")
     rows = _rows(documents, id_column, text_column).withColumn("maybe", maybe("key"))
@@ -363,6 +374,7 @@ def dedup_digests(documents: DataFrame, id_column: str = "doc_id", text_column:
     plain = plain.select("id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     names = plain.columns
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -380,6 +392,7 @@ def without_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     """id and the text that stays."""
     plain, hit = _affected(documents, id_column, text_column)
 
+    @flat.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_kept((t.as_py() or "").encode(), f.as_py(), e.as_py())[0].decode("utf-8", "ignore") if t.as_py() is not None else None
