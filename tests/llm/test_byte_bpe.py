@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from metaeval.llm import byte_bpe
 
@@ -44,11 +46,23 @@ def test_digests_of_the_documents(docs, texts, both):
 
 
 def test_odd_rows(odd, none, both):
-    plain = odd.drop("ids")
-    rows = byte_bpe.decode_documents(byte_bpe.encode_documents(plain)).collect()
+    assert "ids" in odd.columns
+    odd = odd.withColumn("decoded", F.lit("x"))
+    rows = byte_bpe.decode_documents(byte_bpe.encode_documents(odd)).collect()
     assert len(rows) == odd.count()
     for r in rows:
         assert r["ids"] == both[1].encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode() and r["key"] == "key"
     assert byte_bpe.encoding_digests(odd).count() == odd.count()
     assert byte_bpe.encoding_digests(none).count() == 0
+
+
+def test_memory_of_unbroken_text(both):
+    """Ten megabytes of one letter: some 50 bytes a byte at most, and nothing of it is kept."""
+    own = byte_bpe.ByteBpe(both[0].ranks, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    found = own.encode("a" * 10_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.decode(found) == b"a" * 10_000_000 and peak < 400e6
+    assert not own.known and ids(own, "a" * 100_000) == both[1].encode_ordinary("a" * 100_000)
