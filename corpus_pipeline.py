@@ -11,8 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from metaeval.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality_rules
-from metaeval.session import shared_dir
+from metaeval.llm import byte_bpe, decontamination, flat, line_dedup, ngram_join, quality_rules
+from metaeval.session import delete_at_exit, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     sets, labels = ngram_join.near_duplicates(docs.select(own.alias("own"), "text"), "own")
     groups = ngram_join.with_component(sets, labels)
     kept = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
-    kept = kept.select(F.col("id.id").alias("kept_id"), F.col("id.key").alias("kept_key"), "rows", "n")
+    # read three times below
+    kept = flat.written(kept.select(F.col("id.id").alias("kept_id"), F.col("id.key").alias("kept_key"), "rows", "n"))
     is_kept = F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")) & (F.xxhash64("d.text") == F.col("k.kept_key"))
     # rows with equal id and text are one group and have one name; without words they have no group
     doubled = kept.filter((F.col("rows") > 1) & (F.col("n") > 0))
@@ -73,6 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the table ``documents`` on."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
