@@ -51,22 +51,24 @@ def with_positions(df: DataFrame, by=(), order=(), name: str = "pos") -> DataFra
         "_range", F.shiftright("_row", _INDEX_BITS))
     blocks = tagged.groupBy("_group", "_range").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_count"))
-    return number_blocks(tagged, blocks, ["_group"], ["_range"], name).drop("_group", "_range")
+    return number_blocks(tagged, blocks, ["_group"], ["_range"], name, few=not by).drop("_group", "_range")
 
 
-def number_blocks(rows: DataFrame, blocks: DataFrame, group, order, name: str) -> DataFrame:
+def number_blocks(rows: DataFrame, blocks: DataFrame, group, order, name: str, few: bool = False) -> DataFrame:
     """Positions for rows that carry ``_row`` and lie in consecutive blocks.
 
     ``blocks`` has one row per block: ``_first`` (lowest ``_row`` that counts)
     and ``_count``. ``group`` + ``order`` name the block; ``order`` sorts the
-    blocks of a group. Rows ahead of their block's first are dropped.
+    blocks of a group. Rows ahead of their block's first are dropped. ``few``: there are
+    no more blocks than partitions, so they are broadcast without being measured.
     """
     earlier = Window.partitionBy(*group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     starts = blocks.select(
         *group, *order, "_first",
         F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_earlier"))
-    placed = attach(rows, starts, on=[*group, *order], spread=["_row"], how="inner")
+    on = [*group, *order]
+    placed = rows.join(F.broadcast(starts), on) if few else attach(rows, starts, on=on, spread=["_row"], how="inner")
     return (
         placed.filter(F.col("_row") >= F.col("_first"))
         .withColumn(name, F.col("_row") - F.col("_first") + F.col("_earlier"))
