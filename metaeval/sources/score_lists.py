@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from metaeval.session import cut
 from metaeval.sources.inventory import located_file, working_folder
 
 RANGE_BYTES = 32 << 20
@@ -130,7 +131,8 @@ def explode_lists(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     """``system``, ``system_score``, ``pos``, ``value`` of the lists in the files ``path`` of ``length`` bytes, a task per range."""
     spark = files.sparkSession
     home = working_folder(spark)
-    ranges = list_ranges(files, range_bytes).filter("count > 0").join(files.select("path", "length"), "path")
+    # a row per range, kept: a reader that runs again does not count again
+    ranges = cut(list_ranges(files, range_bytes).filter("count > 0").join(files.select("path", "length"), "path"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
