@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from metaeval.functions.text import decoded_path
 from metaeval.schemas import SCORE_ARRAY
@@ -56,12 +57,17 @@ def explode_scores(systems: DataFrame, keys, scores: str = "scores") -> DataFram
         F.col("value").cast("double").alias("value"))
 
 
-def scan_score_arrays(spark: SparkSession, paths, whole_bytes: int = RANGE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scan_score_arrays(spark: SparkSession, paths, whole_bytes: int = RANGE_BYTES, range_bytes: int = RANGE_BYTES,
+                      keep: str | None = None) -> DataFrame:
     """Score objects in JSON files: ``system``, its stored ``system_score``, ``pos``, ``value``.
 
     A file of at most ``whole_bytes`` is read as one row. Of a larger one, the list is cut
-    into ranges that tasks read by themselves.
+    into ranges that tasks read by themselves. With ``keep`` (``name type, ...``) objects
+    name themselves by these fields, which are passed through; a file then holds any
+    number of objects, one a line, and large files are split between lines.
     """
+    if keep:
+        return scan_whole_arrays(spark, paths, keep)
     files = listed(spark, paths)
     large = files.filter(F.col("length") > whole_bytes)
     if large.isEmpty():
@@ -72,8 +78,9 @@ def scan_score_arrays(spark: SparkSession, paths, whole_bytes: int = RANGE_BYTES
     return scan_whole_arrays(spark, small).unionByName(found) if small else found
 
 
-def scan_whole_arrays(spark: SparkSession, paths) -> DataFrame:
+def scan_whole_arrays(spark: SparkSession, paths, keep: str | None = None) -> DataFrame:
     """As ``scan_score_arrays``, every object in one line and read as one row."""
-    objects = spark.read.schema(SCORE_ARRAY).option("mode", "FAILFAST").json(paths).withColumn(
+    kept = StructType.fromDDL(keep).fields if keep else []
+    objects = spark.read.schema(StructType([*SCORE_ARRAY, *kept])).option("mode", "FAILFAST").json(paths).withColumn(
         "system", decoded_path(F.col("_metadata.file_path")))
-    return explode_scores(objects, ["system", "system_score"])
+    return explode_scores(objects, ["system", "system_score", *[f"`{f.name}`" for f in kept]])

@@ -50,3 +50,22 @@ def test_special_numbers_and_damage(spark, tmp_path):
         (tmp_path / "n.json").write_text(text)
         with pytest.raises(Exception, match=why):
             explode_lists(listed(spark, str(tmp_path)), 6).collect()
+
+
+def test_objects_that_share_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"st": 7, "scores": [1, null], "system_score": 0.5}\n{"scores": [3], "st": -8}\n{"st": 9, "scores": []}\n{"scores": [4]}\n')
+    (tmp_path / "b.json").write_text('{"st": 7, "scores": [5]}\n')
+    got = [tuple(r) for r in scan_score_arrays(spark, str(tmp_path), 1, 1, keep="st bigint").select("st", "pos", "value", "system_score").collect()]
+    assert sorted(got, key=str) == sorted([(7, 0, 1.0, 0.5), (7, 1, None, 0.5), (-8, 0, 3.0, None), (None, 0, 4.0, None), (7, 0, 5.0, None)], key=str)
+
+
+def test_files_do_not_grow_with_the_systems(spark, tmp_path, monkeypatch):
+    from metaeval.plans import queries
+
+    monkeypatch.setattr(queries, "new_folder", lambda spark: str(tmp_path / "out"))
+    table = spark.range(0, 400, 1, 2).selectExpr("id - 3 AS vec_id", "array(float(id), float(0.5)) AS embedding")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries.score_array_explode(spark, str(tmp_path)).collect()
+    assert sorted((r["st"], r["pos"], r["value"]) for r in rows) == sorted((i - 3, k, x) for i in range(400) for k, x in enumerate((float(i), 0.5)))
+    assert all(r["system_score"] == (r["st"] / 8 if r["st"] % 3 else None) for r in rows)
+    assert len(list((tmp_path / "out").rglob("*.json"))) <= 4
