@@ -33,6 +33,8 @@ from metaeval.sources.inventory import located_file, working_folder
 
 RANGE_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
+#: A range is a task of its own up to so many of them; beyond, neighbours share a task, of ``RANGE_BYTES`` at most.
+TASKS = 256
 
 _QUOTED = rb'"[^"]*+(?:""[^"]*+)*+"[^\t\n]*+'
 _CELL = rb'(?:' + _QUOTED + rb'|(?!")[^\t\n]*+)'
@@ -215,9 +217,27 @@ def keep_index(files: DataFrame, folder: str, per_folder: bool = False, quoted:
 
 
 class Range(InputPartition):
-    def __init__(self, row: dict, low: int, high: int):
+    """A row of the index, and those of the ranges that are read after it by the same task."""
+
+    def __init__(self, row: dict, low: int, high: int, others=()):
         super().__init__(0)
-        self.row, self.low, self.high = row, low, high
+        self.rows, self.low, self.high = [row, *others], low, high
+
+
+def shared_tasks(rows: list[dict], tasks: int = TASKS, most: int = RANGE_BYTES) -> list[list[dict]]:
+    """Ranges in the order of files and places, those that one task reads together."""
+    if len(rows) <= tasks:
+        return [[r] for r in rows]
+    limit = min(most, sum(r["stop"] - r["start"] for r in rows) // tasks)
+    out, size = [], limit
+    for r in sorted(rows, key=lambda r: (r["path"], r["start"])):
+        mine = r["stop"] - r["start"]
+        if size + mine > limit:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += mine
+    return out
 
 
 class RecordReader(DataSourceReader):
@@ -243,18 +263,21 @@ class RecordReader(DataSourceReader):
 
         system, inner = located_file(self.options["index"], self.options["home"])
         rows = pq.read_table(inner, filesystem=system).to_pylist()
-        return [Range(r, self.low, self.high) for r in rows
-                if r["count"] and r["first"] < self.high and r["first"] + r["count"] > self.low and (self.systems is None or r["system"] in self.systems)] or [Range({}, 0, 0)]
+        wanted = [r for r in rows
+                  if r["count"] and r["first"] < self.high and r["first"] + r["count"] > self.low and (self.systems is None or r["system"] in self.systems)]
+        return [Range(first, self.low, self.high, others) for first, *others in shared_tasks(wanted)] or [Range({}, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        row = partition.row
-        if not row:
-            return
+        for row in partition.rows:
+            if row:
+                yield from self.read_range(row, partition.low, partition.high)
+
+    def read_range(self, row: dict, low: int, high: int) -> Iterator[pa.RecordBatch]:
         system, inner = located_file(row["path"], self.options["home"])
         if system.get_file_info(inner).size != row["length"]:
             raise ValueError(f"{row['path']} has changed since its index was made")
         held, size, pos = [], 0, row["first"] - row["heads"]
-        low, high = max(partition.low, row["first"]), min(partition.high, row["first"] + row["count"])
+        low, high = max(low, row["first"]), min(high, row["first"] + row["count"])
         header = self.options.get("header", "").encode()
 
         def batch(records: list[bytes], end: int) -> pa.RecordBatch:

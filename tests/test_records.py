@@ -104,6 +104,27 @@ def test_rows_that_leave_the_reader_are_those_asked_for(tmp_path):
     assert [x for b in batches for x in b.column("_record").to_pylist()] == [b"90", b"91", b"92"]
 
 
+def test_many_ranges_share_tasks(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.tsv").write_text("score\n" + "".join(f'"{name}\n{i}"\n' for i in range(3000)))
+    index = r.temporary_index(r.listed(spark, str(tmp_path)), per_folder=None, range_bytes=50)
+    assert spark.read.parquet(index).count() > 2 * r.TASKS
+    rows = r.scan_records(spark, index, ["score"], CELLS)
+    assert r.TASKS // 2 < rows.rdd.getNumPartitions() <= 2 * r.TASKS
+    want = [f"{name}\n{i}" for name in ("a", "b") for i in range(3000)]
+    assert [(x["_pos"], x["score"]) for x in rows.orderBy("_pos").collect()] == list(enumerate(want))
+    some = rows.filter("_pos >= 1500 and _pos < 4500").orderBy("_pos").collect()
+    assert [x["score"] for x in some] == want[1500:4500]
+
+
+def test_ranges_that_share_a_task_are_few_bytes():
+    rows = [{"path": p, "start": k, "stop": min(k + 10, 995)} for p in ("b", "a") for k in range(0, 1000, 10)]
+    tasks = r.shared_tasks(rows, 7, 95)
+    assert [(x["path"], x["start"]) for t in tasks for x in t] == sorted((x["path"], x["start"]) for x in rows)
+    assert all(sum(x["stop"] - x["start"] for x in t) <= 95 for t in tasks) and len(tasks) <= 24
+    assert [len(t) for t in r.shared_tasks(rows, 200, 95)] == [1] * 200 and len(r.shared_tasks(rows, 7, 5)) == 200 and r.shared_tasks([]) == []
+
+
 def test_changed_files_and_other_columns_raise(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("score\n1\n")
     (tmp_path / "b.tsv").write_text("raw\n1\n")
