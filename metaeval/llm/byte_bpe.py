@@ -1,6 +1,7 @@
 """Byte-level BPE: exact merges in linear time, and decoding.
 
-The vocabulary's byte strings, read as Latin-1, go into an Aho-Corasick automaton.
+Pieces of up to ``SHORT`` bytes, nearly all there are, are merged by rank step by step.
+For longer ones the vocabulary's byte strings, read as Latin-1, go into an Aho-Corasick automaton.
 One pass over a piece of text lists the tokens that start at each byte. The
 encoder takes the longest token at each place, steps back to a shorter one, or to
 the place before, where neighbours do not fit, and remembers places that lead
@@ -9,8 +10,9 @@ bytes gives just these two; that is kept by pair. A sequence whose neighbours al
 fit is the one that merging by rank gives.
 
 Texts are split by a pattern first and each match is encoded by itself. A task
-keeps the ids of the matches it has met, up to ``KNOWN`` of them, and then begins
-anew, so memory is bounded.
+keeps the ids of the matches it has met, up to ``KNOWN`` of them: at half as many it
+begins anew and takes over from the former half what it meets again, so that memory is
+bounded and frequent matches stay.
 
 Defined results: a null text counts as empty; an empty text has no ids and
 decodes to no bytes. Ids and repeated rows are passed through. Extra columns are
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -37,6 +40,9 @@ from metaeval.llm.registry import query
 #: Matches of the pattern, and half the pairs of tokens, that a task remembers; longer matches are not remembered.
 KNOWN = 300_000
 LONGEST_KNOWN = 64
+#: Bytes of a piece that merging step by step is quicker for.
+SHORT = 64
+_NONE = 1 << 60
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -63,16 +69,22 @@ class ByteBpe:
         self.shorter = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1) for token, rank in ranks.items()}
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
-        """Merging by rank, step by step: what a pair of tokens is tested by."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        """Merging by rank, step by step, the first of equal pairs first: short pieces, and what a pair of tokens is tested by."""
+        rank_of, n = self.ranks.get, len(piece)
+        # where the parts begin, and the end; the rank of each part joined with the next one
+        starts = list(range(n + 1))
+        pairs = [rank_of(piece[i:i + 2], _NONE) for i in range(n - 1)]
+        while pairs and (best := min(pairs)) != _NONE:
+            i = pairs.index(best)
+            del starts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank_of(piece[starts[i]:starts[i + 2]], _NONE)
+            if i:
+                pairs[i - 1] = rank_of(piece[starts[i - 1]:starts[i + 1]], _NONE)
+        return [self.ranks[piece[first:end]] for first, end in zip(starts, starts[1:])]
 
     def fit(self, left: int, right: int) -> bool:
         found = self.fits.get(left << 32 | right)
@@ -88,6 +100,8 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) <= SHORT:
+            return self.merged(piece)
         n, size, shorter = len(piece), self.size, self.shorter
         # of the tokens from each byte on the longest; all others are what it begins with
         longest = array("i", [-1]) * n
@@ -119,14 +133,18 @@ class ByteBpe:
         known, pieces = self.known, self.split(text)
         new = set(pieces).difference(known)
         if new:
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = set(pieces)
-            once = {}
+            if len(known) + len(new) > KNOWN // 2:
+                self.before, self.known = known, {}
+                known, new = self.known, set(pieces)
+            once, before = {}, self.before
             for piece in new:
+                ids = before.get(piece)
+                if ids is None:
+                    found = self.encode_piece(piece.encode())
+                    ids = struct.pack(f"<{len(found)}I", *found) if len(found) <= SHORT else np.array(found, "<u4").tobytes()
                 # a match of the pattern may be as long as a text: long ones are not kept
                 keep = known if len(piece) <= LONGEST_KNOWN else once
-                keep[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                keep[piece] = ids
             if once:
                 return b"".join(once.get(piece) or known[piece] for piece in pieces)
         return b"".join(map(known.__getitem__, pieces))

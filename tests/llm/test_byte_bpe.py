@@ -66,3 +66,24 @@ def test_memory_of_unbroken_text(both):
     tracemalloc.stop()
     assert own.decode(found) == b"a" * 10_000_000 and peak < 400e6
     assert not own.known and ids(own, "a" * 100_000) == both[1].encode_ordinary("a" * 100_000)
+
+
+def test_frequent_pieces_stay_known(both, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KNOWN", 40)
+    own = byte_bpe.ByteBpe(both[0].ranks, public_tokenizers.PATTERN)
+    asked, encode_piece = [], own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda piece: asked.append(piece) or encode_piece(piece))
+    for i in range(300):
+        text = f" quixotry x{i:04d}z"
+        assert ids(own, text) == both[1].encode_ordinary(text)
+        assert len(own.known) + len(own.before) <= 40
+    assert asked.count(b" quixotry") == 1 and asked.count(b" x") == 1
+
+
+@pytest.mark.parametrize("size", [2, 9, 63, 64, 65, 200])
+def test_pieces_on_both_sides_of_the_short_ones(both, size):
+    rng = random.Random(size)
+    for letters in ("ab", "étaoinshrdlu", "aaab", "漢字ñ"):
+        for _ in range(40):
+            text = "".join(rng.choice(letters) for _ in range(size))
+            assert ids(both[0], text) == both[1].encode_ordinary(text)
