@@ -39,13 +39,13 @@ def spearman(pairs: DataFrame, x: str, y: str, by=(), levels: dict | None = None
     both = present(F.col(x).cast("double")) & present(F.col(y).cast("double"))
     values = [F.when(both, F.col(x).cast("double")).alias("_x"),
               F.when(both, F.col(y).cast("double")).alias("_y")]
-    if levels is None:
-        narrow = pairs.select(*by, *values)
-    else:
+    cells = pairs.select(*by, *values).groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    if levels is not None:
+        # rows are counted once, and only the counts are taken to every level
         keys = F.explode(_level_keys(pairs, by, levels)).alias("_k")
         by = ["level", *by]
-        narrow = pairs.select(keys, *values).select("_k.*", "_x", "_y")
-    cells = cut(narrow.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+        cells = cells.select(keys, "_x", "_y", "_n").select("_k.*", "_x", "_y", "_n").groupBy(*by, "_x", "_y").agg(F.sum("_n").alias("_n"))
+    cells = cut(cells)
     sizes = cells.groupBy(*by).count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= window_cells:

@@ -135,3 +135,20 @@ def test_positions_over_many_ranges(spark, max_rows, monkeypatch):
     assert len(rows) == 5000
     for members in groups.values():
         assert [p for _, p in sorted(members)] == list(range(len(members)))
+
+
+def test_rows_are_counted_before_they_are_taken_to_levels(spark, monkeypatch):
+    from metaeval.operators import correlation
+
+    plans, cut = [], correlation.cut
+    monkeypatch.setattr(correlation, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().splitlines()) or cut(df))
+    rows = spark.range(1000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS s", "id % 2 AS p", "IF(id % 7 = 0, NULL, id % 5) AS x", "(id * id) % 11 AS y")
+    levels = {"one": ["s"], "pool": ["p"]}
+    got = {(r["level"], r["s"], r["p"]): (r["n_rows"], r["n_pairs"], r["spearman"]) for r in correlation.spearman(rows, "x", "y", ["s", "p"], levels=levels).collect()}
+    place = {name: [i for i, line in enumerate(plans[0]) if name in line] for name in ("Aggregate", "Generate")}
+    assert place["Aggregate"][0] < place["Generate"][0] < place["Aggregate"][-1]
+    for level, by in (("one", "s"), ("pool", "p")):
+        for r in correlation.spearman(rows, "x", "y", [by]).collect():
+            found = got.pop((level, r["s"] if by == "s" else None, r["p"] if by == "p" else None))
+            assert found[:2] == (r["n_rows"], r["n_pairs"]) and found[2] == pytest.approx(r["spearman"], abs=1e-12)
+    assert not got
